@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.llm.mixing import mix_sources, quality_weight
+from reelgrid.llm.neighbours import similar_vectors
 from reelgrid.llm.nearest_time import nearest_in_time
 from reelgrid.llm.tokenizer import encode_corpus
 from reelgrid.session import table
@@ -17,6 +18,16 @@ def _ms(c: str):
     return F.when(~F.isnan(c), F.round(F.col(c) * 1000)).cast("bigint")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors(table(spark, sf_dir, "frame_vectors"), "point_id", "dense_video", k=10, dim=96, least_cosine=0.8)
+    return near.select(F.least("point_a", "point_b").alias("point_a"), F.greatest("point_a", "point_b").alias("point_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar points of every point, whatever their cosine."""
+    return similar_vectors(table(spark, sf_dir, "frame_vectors"), "point_id", "dense_video", k=10, dim=96, probes=6)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = table(spark, sf_dir, "frames").select("video_id", "keyframe_n", _ms("pts_sec").alias("at"))
     speech = table(spark, sf_dir, "asr_segments").select("video_id", "segment", _ms("start_sec").alias("at"))
@@ -42,7 +53,7 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
-QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p6_found": p6_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
 
 SQL = {
     "p6_found": """
