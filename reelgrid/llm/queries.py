@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgrid.llm.canonical import canonical_text
 from reelgrid.llm.mixing import mix_sources, quality_weight
 from reelgrid.llm.neighbours import similar_vectors
 from reelgrid.llm.nearest_time import nearest_in_time
@@ -28,6 +29,27 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "frame_vectors"), "point_id", "dense_video", k=10, dim=96, probes=6)
 
 
+def _screen_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the three text fields, once: pieces of ocr_text, otherwise whole texts."""
+    frames = table(spark, sf_dir, "frames")
+    ocr = frames.select(F.lit("ocr_text").alias("field_name"), "video_id", F.col("keyframe_n").alias("row_no"), F.explode(F.split("ocr_text", " · ")).alias("value"))
+    caption = frames.select(F.lit("caption_vi").alias("field_name"), "video_id", F.col("keyframe_n").alias("row_no"), F.col("caption_vi").alias("value"))
+    speech = table(spark, sf_dir, "asr_segments").select(F.lit("text_corrected").alias("field_name"), "video_id", F.col("segment").alias("row_no"), F.col("text_corrected").alias("value"))
+    return ocr.unionByName(caption).unionByName(speech)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The phrases are a small table that doesn't grow; Spark broadcasts it if its size allows.
+    phrases = table(spark, sf_dir, "screen_phrases").select("phrase_id", "phrase", canonical_text(F.col("phrase")).alias("form"))
+    values = _screen_values(spark, sf_dir).withColumn("form", canonical_text(F.col("value")))
+    return values.join(phrases, "form").where("value <> phrase").select("field_name", "video_id", "row_no", "phrase_id").distinct()
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of the three fields in their consistent form, with the key of their row."""
+    return _screen_values(spark, sf_dir).select("field_name", "video_id", "row_no", "value", canonical_text(F.col("value")).alias("form")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = table(spark, sf_dir, "frames").select("video_id", "keyframe_n", _ms("pts_sec").alias("at"))
     speech = table(spark, sf_dir, "asr_segments").select("video_id", "segment", _ms("start_sec").alias("at"))
@@ -53,7 +75,7 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p6_found": p6_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
 
 SQL = {
     "p6_found": """
