@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelgrid.llm.canonical import canonical_text
 from reelgrid.llm.mixing import mix_sources, quality_weight
 from reelgrid.llm.neighbours import similar_vectors
+from reelgrid.llm.names import link_names
 from reelgrid.llm.nearest_time import nearest_in_time
 from reelgrid.llm.tokenizer import encode_corpus
 from reelgrid.session import table
@@ -50,6 +51,16 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _screen_values(spark, sf_dir).select("field_name", "video_id", "row_no", "value", canonical_text(F.col("value")).alias("form")).distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    speech = table(spark, sf_dir, "asr_segments")
+    lists = [("person", "asr_persons"), ("org", "asr_orgs"), ("location", "asr_locations")]
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("names")) for k, c in lists])
+    spelt = speech.select("video_id", "segment", F.explode(kinds).alias("l")).select("video_id", "segment", F.col("l.kind").alias("kind"), F.explode("l.names").alias("name")).where("name is not null")
+    known = table(spark, sf_dir, "known_entities")
+    links = link_names(spelt, known).join(known.select("entity_id", "full_name"), "entity_id").where("name <> full_name").select("kind", "name", "entity_id")
+    return spelt.join(links, ["kind", "name"]).select(F.col("kind").alias("entity_kind"), "video_id", "segment", "entity_id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = table(spark, sf_dir, "frames").select("video_id", "keyframe_n", _ms("pts_sec").alias("at"))
     speech = table(spark, sf_dir, "asr_segments").select("video_id", "segment", _ms("start_sec").alias("at"))
@@ -75,7 +86,7 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
 
 SQL = {
     "p6_found": """
