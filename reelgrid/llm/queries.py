@@ -11,6 +11,7 @@ from reelgrid.llm.neighbours import similar_vectors
 from reelgrid.llm.names import link_names
 from reelgrid.llm.nearest_time import nearest_in_time
 from reelgrid.llm.tokenizer import encode_corpus
+from reelgrid.llm.turns import speaker_turns
 from reelgrid.session import table
 
 TOLERANCE_MS = 1500
@@ -68,6 +69,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("video_id", F.col("probe_id").cast("int").alias("keyframe_n"), F.col("base_id").cast("int").alias("segment"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speaker_turns(table(spark, sf_dir, "transcripts"), "transcript_id", "segments").select("transcript_id", "turn_no", "speaker", "n_words").distinct()
+
+
+def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns with their words and times."""
+    return speaker_turns(table(spark, sf_dir, "transcripts"), "transcript_id", "segments").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"], "text", "byte_bpe_50k")
 
@@ -86,7 +96,7 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
 
 SQL = {
     "p6_found": """
