@@ -10,6 +10,7 @@ from reelgrid.llm.mixing import mix_sources, quality_weight
 from reelgrid.llm.neighbours import similar_vectors
 from reelgrid.llm.names import link_names
 from reelgrid.llm.nearest_time import nearest_in_time
+from reelgrid.llm.pii import personal_data, redact
 from reelgrid.llm.tokenizer import encode_corpus
 from reelgrid.llm.turns import speaker_turns
 from reelgrid.session import table
@@ -96,7 +97,17 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture}
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pii_kind", "start_at").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by placeholders."""
+    return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {
     "p6_found": """
