@@ -11,9 +11,10 @@ from reelgrid.llm.neighbours import similar_vectors
 from reelgrid.llm.names import link_names
 from reelgrid.llm.nearest_time import nearest_in_time
 from reelgrid.llm.pii import personal_data, redact
+from reelgrid.llm.rank_walk import rank_walk
 from reelgrid.llm.tokenizer import encode_corpus
 from reelgrid.llm.turns import speaker_turns
-from reelgrid.session import table
+from reelgrid.session import once_per_key, table
 
 TOLERANCE_MS = 1500
 
@@ -32,6 +33,21 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "frame_vectors"), "point_id", "dense_video", k=10, dim=96, probes=6)
 
 
+def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of every query in one order."""
+    candidates = once_per_key(table(spark, sf_dir, "stage_a_candidates"), ["query_id", "video_id"], "scored_at")
+    speech = once_per_key(table(spark, sf_dir, "asr_segments").select("video_id", "segment", "speech_score", "ingested_at"), ["video_id", "segment"])
+    evidence = speech.select("video_id", F.col("segment").alias("evidence_segment"), "speech_score")
+    joined = candidates.join(evidence, ["video_id", "evidence_segment"], "left")
+    # Arrays of one query are as long as its events are many; the fixed scores come first.
+    scores = F.concat(F.array("score", "overview_score", "speech_score"), F.coalesce("event_scores", F.array().cast("array<double>")))
+    return rank_walk(joined.select("query_id", "video_id", scores.alias("scores")), "query_id", "video_id", "scores")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_ranking(spark, sf_dir).where("place <= 3").select("query_id", "video_id")
+
+
 def _screen_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the three text fields, once: pieces of ocr_text, otherwise whole texts."""
     frames = table(spark, sf_dir, "frames")
@@ -107,7 +123,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {
     "p6_found": """
