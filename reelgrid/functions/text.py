@@ -71,7 +71,7 @@ def joined_texts(*texts: Column) -> Column:
 def quoted_spans(text: Column) -> Column:
     """What stands between straight or curly double quotes, 2 to 160 characters, once each in order, no hedges."""
     spans = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit('["“]([^"“”]{2,160})["”]'), F.lit(1))
-    kept = F.filter(F.transform(spans, F.trim), lambda s: (F.length(s) >= 2) & ~F.lower(s).isin(HEDGES))
+    kept = F.filter(F.transform(spans, lambda s: F.trim(s)), lambda s: (F.length(s) >= 2) & ~F.lower(s).isin(HEDGES))
     return F.array_distinct(kept)
 
 
