@@ -55,10 +55,10 @@ def train_router(sample: np.ndarray, parts: int, seed: int = 11, epochs: int = 1
     x = x[rng.permutation(m)]
     k = min(GRAPH_K, m - 1)
     graph = np.empty((m, k), np.int64)
-    for i in range(0, m, 2048):
-        s = x[i : i + 2048] @ x.T
+    for i in range(0, m, 512):
+        s = x[i : i + 512] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        graph[i : i + 2048] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        graph[i : i + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     room = int(np.ceil(1.1 * m / parts))
     centre = x[:parts].copy()
     for _ in range(6):
