@@ -48,12 +48,12 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 7, total: int
     plan = goal.join(F.broadcast(have), "source", "left").withColumn("documents", F.coalesce("documents", F.lit(0))).withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
     alive = F.when(F.col("available_tokens") > 0, F.col("target_share")).otherwise(0.0)
     every = W.partitionBy()  # one row per source of the targets
-    plan = plan.withColumn("share", alive / F.sum(alive).over(every))
-    most = F.min(F.when(F.col("share") > 0, F.col("available_tokens") * F.greatest("max_repeats", F.lit(0)) / F.col("share"))).over(every)
+    plan = plan.withColumn("share", F.coalesce(F.try_divide(alive, F.sum(alive).over(every)), F.lit(0.0)))
+    most = F.min(F.when(F.col("share") > 0, F.try_divide(F.col("available_tokens") * F.greatest("max_repeats", F.lit(0)), F.col("share")))).over(every)
     plan = plan.withColumn("size", F.lit(float(total)) if total is not None else most)
     room = F.col("available_tokens") * F.greatest("max_repeats", F.lit(0))
     plan = plan.withColumn("budget_tokens", F.coalesce(F.least(F.floor(F.col("size") * F.col("share") + 1e-6), room), F.lit(0)).cast("bigint"))
-    plan = plan.withColumn("epochs", F.when(F.col("available_tokens") > 0, F.floor(F.col("budget_tokens") / F.col("available_tokens"))).otherwise(0).cast("int"))
+    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("budget_tokens", "available_tokens")), F.lit(0)).cast("int"))
     plan = plan.withColumn("rest", F.col("budget_tokens") - F.col("epochs") * F.col("available_tokens"))
     plan = cut_lineage(plan)  # one row per source
 
@@ -72,5 +72,5 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 7, total: int
 
     taken = mixture.groupBy("source").agg(F.count("*").alias("taken_documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("taken_tokens"))
     report = plan.select("source", "target_share", "max_repeats", "documents", "available_tokens", "budget_tokens").join(F.broadcast(taken), "source", "left").withColumn("taken_documents", F.coalesce("taken_documents", F.lit(0))).withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0)))
-    share = F.when(F.sum("taken_tokens").over(every) > 0, F.col("taken_tokens") / F.sum("taken_tokens").over(every)).otherwise(0.0)
+    share = F.coalesce(F.try_divide(F.col("taken_tokens"), F.sum("taken_tokens").over(every)), F.lit(0.0))
     return mixture, report.withColumn("actual_share", share)
