@@ -24,6 +24,7 @@ class Crf:
     def fit(self, features: list[np.ndarray], labels: list[np.ndarray], epochs: int = 5, batch: int = 48, rate: float = 0.25, decay: float = 1e-6, seed: int = 0) -> Crf:
         """Maximum likelihood by Adagrad over batches of padded sequences."""
         rng = np.random.default_rng(seed)
+        # Squared gradients so far.
         gw, gp, gf = np.full_like(self.w, 1e-2), np.full_like(self.pair, 1e-2), np.full_like(self.first, 1e-2)
         by_length = sorted(range(len(labels)), key=lambda i: len(labels[i]))
         groups = [by_length[i : i + batch] for i in range(0, len(by_length), batch)]
@@ -42,14 +43,16 @@ class Crf:
                 d = single
                 d[np.arange(n)[:, None], np.arange(t)[None], y] -= 1
                 d *= mask[:, :, None]
-                gradient = np.zeros_like(self.w)
-                flat = d.reshape(-1, self.labels)
                 used = mask.ravel()
-                for template in f.reshape(len(f), -1):
-                    np.add.at(gradient, template[used], flat[used])
+                flat, at = d.reshape(-1, self.labels)[used], f.reshape(len(f), -1)[:, used].ravel()
+                rows_used, at = np.unique(at, return_inverse=True)
+                gradient = np.stack([np.bincount(at, np.tile(flat[:, k], len(f)), len(rows_used)) for k in range(self.labels)], 1) / n
+                gradient += decay * self.w[rows_used]
+                gw[rows_used] += gradient * gradient
+                self.w[rows_used] -= rate * gradient / np.sqrt(gw[rows_used])
                 both = mask[:, 1:]
                 np.subtract.at(double, (y[:, :-1][both], y[:, 1:][both]), 1)
-                for p, s, q in ((self.w, gw, gradient / n + decay * self.w), (self.pair, gp, double / n), (self.first, gf, d[:, 0].sum(0) / n)):
+                for p, s, q in ((self.pair, gp, double / n), (self.first, gf, d[:, 0].sum(0) / n)):
                     s += q * q
                     p -= rate * q / np.sqrt(s)
         return self
