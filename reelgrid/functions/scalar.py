@@ -20,12 +20,13 @@ def point_id(*parts: Column) -> Column:
 
 
 def frame_to_sec(frame: Column, fps_num: Column, fps_den: Column) -> Column:
-    return frame * fps_den / fps_num
+    """Null where the rate is zero."""
+    return F.try_divide(frame * fps_den, fps_num)
 
 
 def sec_to_frame(sec: Column, fps_num: Column, fps_den: Column) -> Column:
     """Half to even, as the frame numbers of the index are."""
-    return F.bround(sec * fps_num / fps_den).cast("bigint")
+    return F.bround(F.try_divide(sec * fps_num, fps_den)).cast("bigint")
 
 
 def time_window(shot_start: Column, shot_end: Column, start: Column, end: Column, pts: Column, pad: float = 0.0) -> Column:

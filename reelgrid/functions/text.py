@@ -78,7 +78,7 @@ def quoted_spans(text: Column) -> Column:
 def event_markers(text: Column) -> Column:
     """The events of a text marked E1:, E2. and so on, in order; null with fewer than two or an empty one."""
     parts = F.split(text, r"(?i)(?<!\S)E\d+[:.]")
-    events = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.trim)
+    events = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda e: F.trim(e))
     return F.when((F.size(events) >= 2) & F.forall(events, lambda e: e != ""), events)
 
 

@@ -46,7 +46,7 @@ def detections(labels: Column, scores: Column, least: float = 0.3) -> Column:
 def frame_upper_bound(videos: DataFrame, frames: DataFrame) -> DataFrame:
     """(video_id, frame_upper_bound): the larger of floor(length x rate) and the last seen keyframe + 1; null if neither is known."""
     seen = frames.groupBy("video_id").agg(F.max("original_frame_id").alias("_last"))
-    by_length = F.floor(F.floor("duration_sec") * F.col("fps_num") / F.col("fps_den"))
+    by_length = F.floor(F.try_divide(F.floor("duration_sec") * F.col("fps_num"), F.col("fps_den")))
     return videos.join(seen, "video_id", "left").select("video_id", F.greatest(by_length, F.col("_last") + 1).alias("frame_upper_bound"))
 
 

@@ -64,7 +64,7 @@ def plan_targets(start: Column, end: Column, fps: Column, per_second: float = 1.
     low, high = start + off, end - off
     middle = F.floor((start + end) / 2)
     lo, hi = F.when(high < low, middle).otherwise(low), F.when(high < low, middle).otherwise(high)
-    want = F.lit(max(1, per_shot)) if per_shot is not None else F.greatest(F.lit(1), F.bround(length / fps * per_second))
+    want = F.lit(max(1, per_shot)) if per_shot is not None else F.greatest(F.lit(1), F.bround(F.try_divide(length, fps) * per_second))
     span = hi - lo + 1
     count = F.least(want, span).cast("int")
     return F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), lambda p: lo + F.floor((p + 0.5) * span / count)))
@@ -76,6 +76,8 @@ def plan_windows(start: Column, end: Column, targets: Column, reach: int = 2) ->
     Each begins after the furthest end of those before, which is all that the ones before decide.
     """
 
+    start, end = start.cast("bigint"), end.cast("bigint")
+
     def step(s: Column, t: Column) -> Column:
         low, high = F.greatest(start, t - reach, s["end"] + 1), F.least(end, t + reach)
         made = F.struct(t.alias("target"), low.alias("low"), high.alias("high"))
