@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +21,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
     machine) a temporary folder is made. Rows then survive lost executors and are computed once.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelgrid-"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
+    """``df`` as a table in the same shared folder, and what deletes it; for loops.
+
+    A checkpoint keeps the size estimate of the plan it cuts. Round after round of joins that estimate
+    multiplies until it no longer fits in memory; a table that is read again starts from its files.
+    """
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(df.schema).parquet(path.toString()), lambda: files.delete(path, True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelgrid-"))
+    return sc.getCheckpointDir()
+
+
 def once_per_key(df: DataFrame, keys: list[str], arrival: str | None = "ingested_at") -> DataFrame:
     """One row per key: the earliest arrival, of equally early ones the smallest row.
 
