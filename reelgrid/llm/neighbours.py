@@ -259,7 +259,9 @@ def _expand(near: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     low = low.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     smallest = low.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    # Found from either side, a pair counts for both.
+    # Found from either side, a pair counts for both, so it is there at most twice. A vector that is near to
+    # very many others has as many rows here: all but the best go before the shuffle and before they are collected.
+    both = both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= 2 * k)
     best = both.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), F.col("b").alias("b")))), 1, k).alias("best"))
     named = best.select("a", F.explode("best").alias("n")).join(smallest.withColumnRenamed("rep", "b"), F.col("n.b") == F.col("b"), "left").select("a", F.col("n.d").alias("d"), F.explode(F.coalesce("ids", F.array("n.b"))).alias("other"))
     own = smallest.select(F.col("rep").alias("a"), F.lit(-1.0).alias("d"), F.explode("ids").alias("other"))
