@@ -41,11 +41,12 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 7, total: int
     empty mixture and a report of zeros.
     """
     goal = targets.groupBy("source").agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats")).where("source is not null")
-    docs = cut_lineage(sized.where("source is not null and n_tokens > 0").select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.greatest(F.coalesce("weight", F.lit(1e-6)), F.lit(1e-6)).alias("weight")))
+    # Only sources of the targets stay, so all tables per source are as small as the targets.
+    docs = cut_lineage(sized.join(goal.select("source"), "source", "left_semi").where("n_tokens > 0").select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.greatest(F.coalesce("weight", F.lit(1e-6)), F.lit(1e-6)).alias("weight")))
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
     keyed = docs.withColumn("key", -F.log(u) / F.col("weight"))
     have = keyed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("available_tokens"), F.avg("key").alias("mean_key"))
-    plan = goal.join(F.broadcast(have), "source", "left").withColumn("documents", F.coalesce("documents", F.lit(0))).withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
+    plan = goal.join(have, "source", "left").withColumn("documents", F.coalesce("documents", F.lit(0))).withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
     alive = F.when(F.col("available_tokens") > 0, F.col("target_share")).otherwise(0.0)
     every = W.partitionBy()  # one row per source of the targets
     plan = plan.withColumn("share", F.coalesce(F.try_divide(alive, F.sum(alive).over(every)), F.lit(0.0)))
