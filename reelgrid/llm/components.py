@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.session import cut_lineage
+from reelgrid.session import written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = edges.select("a", "b").where("a is not null and b is not null")
     loops = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
-    e = cut_lineage(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e, drop = written(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -28,9 +28,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Now every edge points down; each node's smaller neighbours meet at the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        new = cut_lineage(small.where("a <> b").distinct())
+        new, drop_new = written(small.where("a <> b").distinct())
         changed = new.exceptAll(e).limit(1).count() or e.exceptAll(new).limit(1).count()
-        e = new
+        drop()
+        e, drop = new, drop_new
         if not changed:
             break
     else:
