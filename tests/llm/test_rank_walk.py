@@ -47,3 +47,20 @@ def test_operator(spark):
     assert got[(1, "a")] == 1 and got[(1, "b")] + 1 == got[(1, "c")]
     assert got[(2, "z")] == 1 and got[(3, "q")] == 1 and len(got) == 7
     assert rank_walk(df.limit(0), "q", "i", "s").collect() == []
+
+
+def test_large_groups_over_the_cluster_equal_one_task(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for q, n in ((1, 160), (2, 12)):
+        v = np.round(r.random((n, 3)) * 20)
+        v[r.random((n, 3)) < 0.1] = np.nan
+        rows += [(q, f"i{k:03d}", [None if np.isnan(x) else float(x) for x in v[k]]) for k in range(n)]
+    df = spark.createDataFrame(rows, "q int, i string, s array<double>")
+    one = {(x.q, x.i): (x.place, x.mass) for x in rank_walk(df, "q", "i", "s").collect()}
+    far = {(x.q, x.i): (x.place, x.mass) for x in rank_walk(df, "q", "i", "s", group_rows=50).collect()}
+    assert one.keys() == far.keys()
+    assert max(abs(one[k][1] - far[k][1]) for k in one) < 1e-8
+    top = lambda d: [k for k in sorted(d, key=lambda k: d[k][0]) if k[0] == 1][:20]
+    assert top(one) == top(far)
+    assert sorted(p for (q, _), (p, _) in far.items() if q == 1) == list(range(1, 161))
