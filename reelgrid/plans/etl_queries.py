@@ -112,13 +112,13 @@ def submission_rows(spark, d):
 
 def ocr_region_filter(spark, d):
     """Pieces of screen text that are kept, with their length as a stand-in for a score."""
-    p = frames_of(spark, d).select("video_id", "keyframe_n", F.posexplode(F.split("ocr_text", " · ")).alias("pos", "piece"))
+    p = frames_of(spark, d, "ocr_text").select("video_id", "keyframe_n", F.posexplode(F.split("ocr_text", " · ")).alias("pos", "piece"))
     return p.where(keep_region(F.col("piece"), (F.length("piece") * 7 % 10) / 10)).select("video_id", "keyframe_n", "pos", "piece")
 
 
 def ocr_by_shot(spark, d):
     """The different pieces of screen text of each shot, and how many."""
-    p = frames_of(spark, d).where("shot_id is not null").select("video_id", "shot_id", F.explode(F.array_distinct(F.split("ocr_text", " · "))).alias("piece")).where("trim(piece) <> ''")
+    p = frames_of(spark, d, "ocr_text").where("shot_id is not null").select("video_id", "shot_id", F.explode(F.array_distinct(F.split("ocr_text", " · "))).alias("piece")).where("trim(piece) <> ''")
     return p.groupBy("video_id", "shot_id").agg(F.countDistinct("piece").alias("pieces"), F.concat_ws(" · ", F.array_sort(F.collect_set("piece"))).alias("ocr_text"))
 
 
@@ -128,12 +128,12 @@ def quoted_spans_query(spark, d):
 
 
 def objects_topset(spark, d):
-    return etl.objects_of_shot(frames_of(spark, d).where("shot_id is not null"))
+    return etl.objects_of_shot(frames_of(spark, d, "objects").where("shot_id is not null"))
 
 
 def caption_join(spark, d):
     """Frames of shots with their caption and screen text in one, and how many have any."""
-    f = frames_of(spark, d).select("video_id", "keyframe_n", joined_texts(F.col("caption_vi"), F.col("ocr_text")).alias("text"))
+    f = frames_of(spark, d, "caption_vi", "ocr_text").select("video_id", "keyframe_n", joined_texts(F.col("caption_vi"), F.col("ocr_text")).alias("text"))
     return f.groupBy("video_id").agg(F.count("*").alias("keyframes"), F.count("text").alias("with_text"), F.sum(F.length("text")).alias("characters"))
 
 
@@ -144,7 +144,7 @@ def merge_last_wins(spark, d):
 
 def payload_merge(spark, d):
     """New screen texts laid over the old ones by key; orphans are counted."""
-    old = frames_of(spark, d).select("video_id", "keyframe_n", "ocr_text")
+    old = frames_of(spark, d, "ocr_text").select("video_id", "keyframe_n", "ocr_text")
     new = speech_of(spark, d).where("segment % 5 = 0").select("video_id", F.col("segment").alias("keyframe_n"), F.col("text_corrected").alias("ocr_text"))
     merged, orphans = etl.merge_payload(old, new, ["video_id", "keyframe_n"])
     a = merged.groupBy("video_id").agg(F.count("*").alias("rows"), F.sum(F.length("ocr_text")).alias("characters"))
@@ -171,7 +171,7 @@ def point_id_hex(spark, d):
 
 def point_id_number(spark, d):
     """Ids as unsigned numbers, and the token indexes of the captions."""
-    f = frames_of(spark, d)
+    f = frames_of(spark, d, "caption_vi")
     return f.select("video_id", "keyframe_n", scalar.point_id(F.lit("frame"), F.col("video_id"), F.col("keyframe_n")).cast("string").alias("point_id"), F.aggregate(F.transform(tokenize(nfc("caption_vi")), token_index), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("token_sum"))
 
 

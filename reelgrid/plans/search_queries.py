@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions.scalar import time_window, usable_vector
 from reelgrid.functions.text import nfc
 from reelgrid.operators import etl, ranking, search, sequence, temporal
-from reelgrid.session import once_per_key, table
+from reelgrid.session import cut_lineage, once_per_key, table
 
 DIM = 96
 EVERY = 100
@@ -23,15 +23,21 @@ def frame_key(video: str = "video_id", n: str = "keyframe_n"):
     return (F.substring(video, 2, 2).cast("bigint") * 1000 + F.substring(video, 6, 3).cast("bigint")) * 100_000 + F.col(n)
 
 
-def frames_of(spark: SparkSession, d: str) -> DataFrame:
-    f = once_per_key(table(spark, d, "frames"), ["video_id", "keyframe_n"])
+FRAME_COLUMNS = ("shot_id", "original_frame_id", "pts_sec", "shot_start_sec", "shot_end_sec")
+
+
+def frames_of(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Every keyframe once, with its key and window; only the columns asked for are read."""
+    f = once_per_key(table(spark, d, "frames").select("video_id", "keyframe_n", *FRAME_COLUMNS, *more, "ingested_at"), ["video_id", "keyframe_n"])
     w = time_window(F.col("shot_start_sec"), F.col("shot_end_sec"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("pts_sec"))
     return f.withColumn("key", frame_key()).withColumn("w", w).withColumn("low", F.col("w.low")).withColumn("high", F.col("w.high")).drop("w")
 
 
-def points_of(spark: SparkSession, d: str) -> DataFrame:
+def points_of(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
+    """Points with a usable vector; repeated rows stay in unless ``once``."""
     p = table(spark, d, "frame_vectors").where(usable_vector(F.col("dense_video"), DIM))
-    return once_per_key(p, ["point_id"]).select(F.col("point_id").alias("id"), "video_id", "keyframe_n", F.col("dense_video").alias("v"))
+    p = once_per_key(p, ["point_id"]) if once else p
+    return p.select(F.col("point_id").alias("id"), "video_id", "keyframe_n", F.col("dense_video").alias("v"))
 
 
 def speech_of(spark: SparkSession, d: str) -> DataFrame:
@@ -44,14 +50,14 @@ def shots_of(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_hits(spark: SparkSession, d: str, k: int, keep: str = "true") -> DataFrame:
     """(query_id, id, score, rank) of the query points against all points that pass ``keep``."""
-    p = points_of(spark, d)
+    p = points_of(spark, d, once=False)  # the search itself counts each id once
     return search.knn(p.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "v"), p.where(keep).select("id", "v"), k)
 
 
 def with_frames(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     """Hits with what their keyframe knows; the id becomes the frame's key."""
     meta = table(spark, d, "frame_vectors").select(F.col("point_id").alias("id"), "video_id", "keyframe_n").distinct()
-    f = frames_of(spark, d).select("video_id", "keyframe_n", "shot_id", F.col("original_frame_id").alias("frame_id"), "pts_sec", "low", "high", "ocr_text")
+    f = frames_of(spark, d, "ocr_text").select("video_id", "keyframe_n", "shot_id", F.col("original_frame_id").alias("frame_id"), "pts_sec", "low", "high", "ocr_text")
     h = hits.join(meta, "id").join(f, ["video_id", "keyframe_n"], "left").withColumn("shot_id", F.coalesce("shot_id", F.lit(0)))
     return h.withColumn("id", frame_key())
 
@@ -70,24 +76,24 @@ def clip_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
 def query_words(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, token, weight) of the captions of the query points."""
     p = table(spark, d, "frame_vectors").where(F.col("point_id") % EVERY == 0).select(F.col("point_id").alias("query_id"), "video_id", "keyframe_n").distinct()
-    t = p.join(frames_of(spark, d).select("video_id", "keyframe_n", nfc("caption_vi").alias("t")), ["video_id", "keyframe_n"])
-    return search.term_weights(t, ["query_id"], "t")
+    t = p.join(frames_of(spark, d, "caption_vi").select("video_id", "keyframe_n", "caption_vi"), ["video_id", "keyframe_n"])
+    return search.term_weights(t.where("caption_vi is not null").select("query_id", nfc("caption_vi").alias("t")), ["query_id"], "t")
 
 
 def sparse_hits(spark: SparkSession, d: str, docs: DataFrame, k: int) -> DataFrame:
     """``docs``: id, t. Words of the query points against them."""
-    index = search.term_weights(docs, ["id"], "t")
+    index = cut_lineage(search.term_weights(docs, ["id"], "t"))  # written once: postings, frequencies and their number are read from it
     return search.sparse_search(query_words(spark, d), index, search.inverse_frequency(index, ["id"]), k)
 
 
 def screen_docs(spark: SparkSession, d: str, column: str = "ocr_text") -> DataFrame:
-    return frames_of(spark, d).select(F.col("key").alias("id"), nfc(column).alias("t")).where("t is not null")
+    return frames_of(spark, d, column).where(F.col(column).isNotNull()).select(F.col("key").alias("id"), nfc(column).alias("t"))
 
 
 def speech_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Segments found by words: query_id, video_id, segment, start_sec, end_sec, score, speech_score."""
     s = speech_of(spark, d).withColumn("id", frame_key(n="segment"))
-    h = sparse_hits(spark, d, s.select("id", nfc("text_corrected").alias("t")).where("t is not null"), k)
+    h = sparse_hits(spark, d, s.where("text_corrected is not null").select("id", nfc("text_corrected").alias("t")), k)
     return h.join(s.select("id", "video_id", "segment", "start_sec", "end_sec", "speech_score"), "id")
 
 
