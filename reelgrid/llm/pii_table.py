@@ -114,13 +114,13 @@ class _Maker:
         who = self.pick([f"{a}.{b}", f"{a}_{b}", f"{a}-{b}", f"{a}{b}{n}", f"{a}+phim", f"{a[0]}.{b}.{1950 + n % 60}", f"{a}{n}", f"{a[0]}.{b}"])
         words = self.pick([["hop-thu", "example"], ["bienho", "invalid"], ["mail", "kenh", "test"], [a + b, "example"], ["dai-" + b, "test"], ["thu", b, "vn"], ["mail", "com"]])
         style = self.rng.random()
-        if style < 0.62:
+        if style < 0.6:
             s = who + "@" + ".".join(words)
-        elif style < 0.72:
+        elif style < 0.68:
             s = who + " [at] " + " [dot] ".join(words)
-        elif style < 0.8:
+        elif style < 0.76:
             s = who + " a còng " + " chấm ".join(words)
-        elif style < 0.85:
+        elif style < 0.86:
             s = who + self.pick([" (at) ", " @ "]) + ".".join(words)
         elif style < 0.9:
             s = who + "＠" + ".".join(words)
