@@ -125,7 +125,7 @@ def _balanced(score: np.ndarray, room: int) -> np.ndarray:
     return label
 
 
-def similar_vectors(df: DataFrame, point: str, vector: str, k: int = 10, dim: int = 96, least_cosine: float = -1.0, probes: int = 3, sample_rows: int = 16_384, part_rows: int = 3_000, block_rows: int = 12_000, parts_most: int = 512, seed: int = 11) -> DataFrame:
+def similar_vectors(df: DataFrame, point: str, vector: str, k: int = 10, dim: int = 96, least_cosine: float = -1.0, probes: int = 3, sample_rows: int = 16_384, part_rows: int = 1_000, block_rows: int = 12_000, parts_most: int = 512, seed: int = 11) -> DataFrame:
     """(point_a, point_b, cosine): for each point its k most similar other points with a cosine of at least ``least_cosine``.
 
     Equal cosines: the smaller point first. ``sample_rows`` bounds what the router is fitted on,
