@@ -78,3 +78,15 @@ def clip_range(start: Column, end: Column, center: Column, radius: Column, longe
 def rotation(matrix: Column) -> Column:
     """Degrees 0, 90, 180 or 270 of a display matrix given as an array (a, b, ...)."""
     return F.pmod(F.round(-F.degrees(F.atan2(F.element_at(matrix, 2), F.element_at(matrix, 1))) / 90) * 90, F.lit(360)).cast("int")
+
+
+def feedback_vector(query: Column, liked: Column, disliked: Column, alpha: float = 1.0, beta: float = 0.75, gamma: float = 0.15) -> Column:
+    """alpha x query + beta x the mean of the liked vectors - gamma x that of the disliked; arrays of arrays may be empty or null."""
+
+    def mean(vectors: Column) -> Column:
+        n = F.size(vectors)
+        total = F.aggregate(vectors, F.transform(query, lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
+        return F.when(vectors.isNotNull() & (n > 0), F.transform(total, lambda x: x / n)).otherwise(F.transform(query, lambda x: F.lit(0.0)))
+
+    moved = F.zip_with(F.transform(query, lambda x: alpha * x.cast("double")), mean(liked), lambda q, m: q + beta * m)
+    return F.zip_with(moved, mean(disliked), lambda q, m: q - gamma * m)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import tokenize
+from reelgrid.operators.temporal import nearest_shot
 
 RANKS = (1, 5, 20, 50, 100)
 LAST_RANK = 100
@@ -72,3 +73,26 @@ def one_per_question(candidates: DataFrame, per_video: int = 3, limit: int = 300
     order = [F.desc(F.round("distinctiveness", 6)), F.col("best_text")]
     g = g.withColumn("_r", F.row_number().over(W.partitionBy("video_id").orderBy(*order))).where(F.col("_r") <= per_video).drop("_r")
     return g.orderBy(*order).limit(limit)
+
+
+def remap_answers(answers: DataFrame, frame_times: DataFrame, shots: DataFrame) -> DataFrame:
+    """(query_id, answer_shot_ids, lost): answer frames moved to another shot list by their times.
+
+    ``answers``: query_id, video_id, answer_frame_ids; ``frame_times``: video_id, frame_id, pts_sec.
+    Frames without a time and videos without shots are lost, and counted.
+    """
+    a = answers.select("query_id", "video_id", F.explode_outer("answer_frame_ids").alias("frame_id"))
+    t = a.join(frame_times.groupBy("video_id", "frame_id").agg(F.min("pts_sec").alias("pts_sec")), ["video_id", "frame_id"], "left")
+    found = nearest_shot(t, shots, "pts_sec")
+    return found.groupBy("query_id").agg(F.sort_array(F.collect_set("found_shot")).alias("answer_shot_ids"), F.sum(F.col("found_shot").isNull().cast("int")).alias("lost"))
+
+
+def ndcg(hits: DataFrame, gains: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, ndcg): discounted gain of the first ``k`` hits over the best possible; 0 without answers.
+
+    ``gains``: query_id, video_id, shot_id, gain.
+    """
+    got = hits.where(F.col("rank") <= k).join(gains, ["query_id", "video_id", "shot_id"]).groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("rank") + 1)).alias("dcg"))
+    best = gains.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("gain")))).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("r") + 1)).alias("ideal"))
+    out = queries.select("query_id").distinct().join(best, "query_id", "left").join(got, "query_id", "left")
+    return out.select("query_id", F.coalesce(F.try_divide(F.coalesce("dcg", F.lit(0.0)), F.col("ideal")), F.lit(0.0)).alias("ndcg"))

@@ -96,3 +96,14 @@ def check_shots(shots: DataFrame, frames: DataFrame) -> DataFrame:
     out = s.join(f, "video_id", "full_outer").join(lost, "video_id", "left")
     only = F.when(F.col("shots").isNull(), "frames").when(F.col("keyframes").isNull(), "shots").otherwise("both")
     return out.select("video_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shots", "overlaps", "keyframes", "missing_shots")], only.alias("only_in"))
+
+
+def sharpest_frames(windows: DataFrame, frames: DataFrame) -> DataFrame:
+    """(video_id, shot_id, target, frame, sharpness): the sharpest scored frame of each window, of equal ones the first.
+
+    ``windows``: video_id, shot_id, target, low, high; ``frames``: video_id, frame, sharpness.
+    """
+    w = windows.withColumn("frame", F.explode(F.sequence("low", "high")))
+    best = F.max_by(F.struct("frame", "sharpness"), F.struct("sharpness", (-F.col("frame")).alias("f")))
+    hit = w.join(frames, ["video_id", "frame"]).groupBy("video_id", "shot_id", "target").agg(best.alias("b"))
+    return hit.select("video_id", "shot_id", "target", "b.frame", "b.sharpness")

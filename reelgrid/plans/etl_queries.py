@@ -94,6 +94,15 @@ def plan_windows(spark, d):
     return _with_rate(spark, d).select("video_id", "shot_id", w).select("video_id", "shot_id", "w.target", "w.low", "w.high")
 
 
+def sharpest_frame(spark, d):
+    """Of each window the keyframe with the most screen regions, as a stand-in for sharpness."""
+    f = frames_of(spark, d, "ocr_regions").where("original_frame_id is not null").groupBy("video_id", F.col("original_frame_id").alias("frame")).agg(F.max("ocr_regions").cast("double").alias("sharpness")).where("sharpness is not null")
+    t = F.transform(F.array((F.col("start_frame") + F.col("end_frame")) / 2), lambda x: F.floor(x))
+    w = F.explode(shots.plan_windows(F.col("start_frame"), F.col("end_frame"), t, reach=40)).alias("w")
+    windows = shots_of(spark, d).select("video_id", "shot_id", w).select("video_id", "shot_id", "w.target", "w.low", "w.high")
+    return shots.sharpest_frames(windows, f)
+
+
 def shot_coverage_check(spark, d):
     return shots.check_shots(shots_of(spark, d).select("video_id", "shot_id", "start_frame", "end_frame"), frames_of(spark, d).where("shot_id is not null").select("video_id", "shot_id"))
 
@@ -238,7 +247,7 @@ def timeline(spark, d):
     return f.select("keyframe_n", "shot_id", "pts_sec", F.round(F.lead("pts_sec").over(W.partitionBy("video_id").orderBy("pts_sec", "keyframe_n")) - F.col("pts_sec"), 6).alias("to_next"))
 
 
-NAMES = [asof_snap, asof_strict, asof_nearest, inshot_nearest, overlap_semi, text_in_window, entities_in_window, scenes_from_scores, merge_short_scenes, find_cuts, plan_targets, plan_windows, shot_coverage_check, frame_bounds, submission_rows, ocr_region_filter, ocr_by_shot, objects_topset, caption_join, merge_last_wins, payload_merge, keyed_upsert, mean_pool_clip, point_id_hex, point_id_number, frame_seconds, drift_stats, transcript_choice, transcript_report, clean_entities, invalid_rows, clean_titles, keyframes_per_shot, timeline]
+NAMES = [asof_snap, asof_strict, asof_nearest, inshot_nearest, overlap_semi, text_in_window, entities_in_window, scenes_from_scores, merge_short_scenes, find_cuts, plan_targets, plan_windows, sharpest_frame, shot_coverage_check, frame_bounds, submission_rows, ocr_region_filter, ocr_by_shot, objects_topset, caption_join, merge_last_wins, payload_merge, keyed_upsert, mean_pool_clip, point_id_hex, point_id_number, frame_seconds, drift_stats, transcript_choice, transcript_report, clean_entities, invalid_rows, clean_titles, keyframes_per_shot, timeline]
 QUERIES = {f.__name__: f for f in NAMES} | {"quoted_spans": quoted_spans_query}
 
 
@@ -286,6 +295,9 @@ select video_id, min(a) as start_frame, max(b) as end_frame from h group by vide
 w(video_id, frame) as (select video_id, min(frame) from c where frame >= 4 group by video_id union all select w.video_id, (select min(c.frame) from c where c.video_id = w.video_id and c.frame >= w.frame + 4) from w where w.frame is not null)
 select video_id, frame from w where frame is not null""",
     "plan_targets": _w(CLIPS, _RATED, _TARGETS.format(want="greatest(1, round_even(len / fps, 0))")) + "select video_id, shot_id, target from t3",
+    "sharpest_frame": _w(FRAMES, CLIPS) + """, g as (select video_id, original_frame_id as frame, cast(max(ocr_regions) as double) as sharpness from f where original_frame_id is not null group by all having max(ocr_regions) is not null),
+w as (select video_id, shot_id, (start_frame + end_frame) // 2 as target, start_frame, end_frame from c),
+h as (select w.video_id, w.shot_id, w.target, g.frame, g.sharpness, row_number() over (partition by w.video_id, w.shot_id order by g.sharpness desc, g.frame) as r from w join g on g.video_id = w.video_id and g.frame between greatest(start_frame, target - 40) and least(end_frame, target + 40)) select video_id, shot_id, target, frame, sharpness from h where r = 1""",
     "shot_coverage_check": _w(FRAMES, CLIPS) + """, n as (select *, lead(start_frame) over (partition by video_id order by start_frame, shot_id) as ns from c), s as (select video_id, count(*) as shots, sum(case when ns <= end_frame then 1 else 0 end) as "overlaps" from n group by all),
 k as (select video_id, count(*) as keyframes from f where shot_id is not null group by all), l as (select video_id, count(*) as missing_shots from f where shot_id is not null and not exists (select 1 from c where c.video_id = f.video_id and c.shot_id = f.shot_id) group by all)
 select video_id, coalesce(shots, 0) as shots, cast(coalesce("overlaps", 0) as bigint) as "overlaps", coalesce(keyframes, 0) as keyframes, coalesce(missing_shots, 0) as missing_shots, case when shots is null then 'frames' when keyframes is null then 'shots' else 'both' end as only_in from s full join k using (video_id) left join l using (video_id)""",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions.text import nfc
 from reelgrid.operators import evaluate
-from reelgrid.plans.search_queries import FRAMES, H50, HIT_FRAMES, POINTS, SPEECH, _dedupe_sql, _hits_sql, dense_hits, kis_visual, speech_of, with_frames
+from reelgrid.plans.etl_queries import CLIPS
+from reelgrid.plans.search_queries import FRAMES, H50, HIT_FRAMES, POINTS, SPEECH, _dedupe_sql, _hits_sql, dense_hits, frames_of, kis_visual, shots_of, speech_of, with_frames
 
 _TOKENS = "list_filter(regexp_extract_all(lower(nfc_normalize({t})), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: length(x) <= 24)"
 
@@ -59,7 +60,22 @@ def recall_mrr(spark, d):
     return s.select(*[F.round(c, 8).alias(c) if c not in ("queries", "found") else F.col(c) for c in s.columns])
 
 
-QUERIES = {f.__name__: f for f in (document_frequency, distinctiveness, best_window, eval_set, rank_of, recall_mrr)}
+def remap_answers(spark, d):
+    """The first frames of every video moved to the shots by their times."""
+    f = frames_of(spark, d).where("original_frame_id is not null")
+    a = f.where("keyframe_n <= 4").groupBy("video_id").agg(F.collect_set("original_frame_id").alias("answer_frame_ids")).withColumn("query_id", F.col("video_id"))
+    c = shots_of(spark, d).where("start_sec is not null and end_sec is not null")
+    m = evaluate.remap_answers(a, f.select("video_id", F.col("original_frame_id").alias("frame_id"), "pts_sec"), c)
+    return m.select("query_id", F.concat_ws(",", F.col("answer_shot_ids").cast("array<string>")).alias("shots"), "lost")
+
+
+def ndcg(spark, d):
+    q = dense_hits(spark, d, 1)
+    g = _answers(spark, d).withColumn("gain", F.lit(1.0)).distinct()
+    return evaluate.ndcg(kis_visual(spark, d), g, q).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+QUERIES = {f.__name__: f for f in (document_frequency, distinctiveness, best_window, eval_set, rank_of, recall_mrr, remap_answers, ndcg)}
 
 _DOCS = "dc as (select video_id, segment, start_sec, nfc_normalize(text_corrected) as t, asr_persons from s where text_corrected is not null)"
 _IDF = f"""dt as (select distinct video_id, segment, unnest({_TOKENS.format(t='t')}) as token from dc), fq as (select token, count(*) as df from dt group by all),
@@ -87,6 +103,12 @@ SQL = {
     "eval_set": _w(SPEECH, _DOCS, _IDF, _SCORE, _WINDOW) + """, c as (select wb.*, round(ds.distinctiveness, 5) as x, dc.start_sec from wb join ds using (video_id, segment) join dc using (video_id, segment)),
 g as (select best_text, min(video_id) as video_id, string_agg(distinct segment, ',' order by segment) as answers, min(start_sec) as start_sec, max(x) as distinctiveness from c group by best_text having count(distinct video_id) = 1),
 r as (select *, row_number() over (partition by video_id order by round(distinctiveness, 6) desc, best_text) as r from g) select best_text, video_id, answers, start_sec, distinctiveness from r where r <= 3 order by round(distinctiveness, 6) desc, best_text limit 300""",
+    "remap_answers": _w(FRAMES, CLIPS) + """, a as (select distinct video_id, original_frame_id as fr from f where keyframe_n <= 4 and original_frame_id is not null), t as (select video_id, original_frame_id as fr, min(pts_sec) as mid from f where original_frame_id is not null group by all), m as (select a.video_id, a.fr, t.mid from a left join t using (video_id, fr)),
+cs as (select *, row_number() over (w) as pos, lead(shot_id) over (w) as ni, lead(start_sec) over (w) as ns, lead(end_sec) over (w) as ne from c where start_sec is not null and end_sec is not null window w as (partition by video_id order by start_sec, end_sec, shot_id)),
+j as (select m.video_id, m.fr, m.mid, cs.* exclude (video_id), row_number() over (partition by m.video_id, m.fr order by pos desc nulls last) as r from m left join cs on cs.video_id = m.video_id and cs.start_sec <= m.mid),
+x as (select j.video_id, case when mid is null then null when j.shot_id is null then o.shot_id when mid <= end_sec then j.shot_id when least(abs(mid - ns), abs(mid - ne)) < least(abs(mid - start_sec), abs(mid - end_sec)) then ni else j.shot_id end as s from j left join (select video_id, shot_id from cs where pos = 1) o on o.video_id = j.video_id where r = 1)
+select video_id as query_id, coalesce(array_to_string(list_sort(list(distinct s) filter (s is not null)), ','), '') as shots, cast(sum(case when s is null then 1 else 0 end) as bigint) as lost from x group by all""",
+    "ndcg": _w(POINTS, FRAMES, _hits_sql(100), HIT_FRAMES, _RANKS) + " select q.query_id, round(coalesce((select sum(1 / log2(rank + 1)) from kv where kv.query_id = q.query_id and exists (select 1 from an where an.query_id = kv.query_id and an.video_id = kv.video_id and an.shot_id = kv.shot_id)), 0), 6) as ndcg from (select distinct query_id from h) q",
     "rank_of": _w(POINTS, FRAMES, _H100, HIT_FRAMES, _RANKS) + "select * from rk",
     "recall_mrr": _w(POINTS, FRAMES, _H100, HIT_FRAMES, _RANKS) + """, m as (select count(*) as queries, count(rank) as found, coalesce(avg(case when rank <= 1 then 1.0 else 0 end), 0) as r1, coalesce(avg(case when rank <= 5 then 1.0 else 0 end), 0) as r5, coalesce(avg(case when rank <= 20 then 1.0 else 0 end), 0) as r20, coalesce(avg(case when rank <= 50 then 1.0 else 0 end), 0) as r50, coalesce(avg(case when rank <= 100 then 1.0 else 0 end), 0) as r100, coalesce(avg(coalesce(1.0 / rank, 0)), 0) as mrr from rk)
 select queries, found, round(r1, 8) as recall_at_1, round(r5, 8) as recall_at_5, round(r20, 8) as recall_at_20, round(r50, 8) as recall_at_50, round(r100, 8) as recall_at_100, round(mrr, 8) as mrr, round((r1 + r5 + r20 + r50 + r100) / 5, 8) as mean_recall from m""",
