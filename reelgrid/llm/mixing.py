@@ -32,8 +32,9 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 7, total: int
     documents can hold its share of it without passing its max_repeats; the shares of sources
     without documents are divided among the rest in proportion and reported as unmet.
 
-    Out: (doc_id, source, n_tokens, copies) and (source, target_share, max_repeats, documents,
-    available_tokens, budget_tokens, taken_documents, taken_tokens, actual_share).
+    Out: (doc_id, source, n_tokens, copies) and (source, target_share, reachable_share, max_repeats, documents,
+    available_tokens, budget_tokens, taken_documents, taken_tokens, actual_share); reachable_share is
+    the target's part of the targets of all sources that have documents.
 
     Defined cases: documents with a null source, of a source without target, or without tokens are
     never taken; null or non-positive weights count as the smallest; a null or negative share is 0;
@@ -72,6 +73,6 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 7, total: int
     mixture = inner.select(*pick).unionByName(edge.select(*pick)).where("copies > 0")
 
     taken = mixture.groupBy("source").agg(F.count("*").alias("taken_documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("taken_tokens"))
-    report = plan.select("source", "target_share", "max_repeats", "documents", "available_tokens", "budget_tokens").join(F.broadcast(taken), "source", "left").withColumn("taken_documents", F.coalesce("taken_documents", F.lit(0))).withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0)))
+    report = plan.select("source", "target_share", F.col("share").alias("reachable_share"), "max_repeats", "documents", "available_tokens", "budget_tokens").join(F.broadcast(taken), "source", "left").withColumn("taken_documents", F.coalesce("taken_documents", F.lit(0))).withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0)))
     share = F.coalesce(F.try_divide(F.col("taken_tokens"), F.sum("taken_tokens").over(every)), F.lit(0.0))
     return mixture, report.withColumn("actual_share", share)

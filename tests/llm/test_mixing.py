@@ -39,7 +39,7 @@ def test_heavier_documents_are_taken_more_often(spark):
 def test_unusable_rows_and_empty_tables(spark):
     docs = [(1, None, 5, 1.0), (2, "none", 5, 1.0), (3, "a", 0, 1.0), (4, "a", None, 1.0), (5, "a", 5, None), (6, "a", 5, -1.0)]
     m, r = run(spark, docs, [("a", 0.5, None), ("a", 0.5, None), ("gone", 0.5, 2), ("zero", None, 1), (None, 0.1, 1)])
-    assert m == {5: 1, 6: 1} and r["gone"].taken_tokens == 0 and r["a"].actual_share == 1.0 and set(r) == {"a", "gone", "zero"}
+    assert m == {5: 1, 6: 1} and r["gone"].taken_tokens == 0 and r["a"].actual_share == r["a"].reachable_share == 1.0 and set(r) == {"a", "gone", "zero"}
     m, r = run(spark, [], [("a", 1.0, 1)])
     assert m == {} and r["a"].actual_share == 0
     assert run(spark, docs, []) == ({}, {})
