@@ -20,7 +20,7 @@ EVERY = 100
 
 def frame_key(video: str = "video_id", n: str = "keyframe_n"):
     """A number for (video_id, keyframe_n): L12_V034 and 5 give 1203400005."""
-    return (F.substring(video, 2, 2).cast("bigint") * 1000 + F.substring(video, 6, 3).cast("bigint")) * 100_000 + F.col(n)
+    return (F.substring(video, 2, 2).try_cast("bigint") * 1000 + F.substring(video, 6, 3).try_cast("bigint")) * 100_000 + F.col(n)
 
 
 FRAME_COLUMNS = ("shot_id", "original_frame_id", "pts_sec", "shot_start_sec", "shot_end_sec")
