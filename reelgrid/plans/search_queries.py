@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions.scalar import time_window, usable_vector
 from reelgrid.functions.text import nfc
 from reelgrid.operators import etl, ranking, search, sequence, temporal
-from reelgrid.session import cut_lineage, once_per_key, table
+from reelgrid.session import cut_lineage, once_per_key, parallelism, table
 
 DIM = 96
 EVERY = 100
@@ -68,7 +68,7 @@ def clip_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     f = frames_of(spark, d).select("video_id", "keyframe_n", "shot_id")
     v = p.join(f, ["video_id", "keyframe_n"])
     pooled = etl.mean_pool(v, ["video_id", "shot_id"], "v").where("v is not null")
-    keyed = pooled.join(v.groupBy("video_id", "shot_id").agg(F.min("id").alias("id")), ["video_id", "shot_id"])
+    keyed = cut_lineage(pooled.join(v.groupBy("video_id", "shot_id").agg(F.min("id").alias("id")), ["video_id", "shot_id"]))  # counted, searched and joined
     q = p.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
     return search.knn(q, keyed.select("id", "v"), k, exclude_self=False).join(keyed.select("id", "video_id", "shot_id"), "id")
 
@@ -82,7 +82,9 @@ def query_words(spark: SparkSession, d: str) -> DataFrame:
 
 def sparse_hits(spark: SparkSession, d: str, docs: DataFrame, k: int) -> DataFrame:
     """``docs``: id, t. Words of the query points against them."""
-    index = cut_lineage(search.term_weights(docs, ["id"], "t"))  # written once: postings, frequencies and their number are read from it
+    # A number of its own keeps the partitions: by size they would be joined into few, and the join below makes far more rows.
+    spread = docs.repartition(parallelism(spark), "id")
+    index = cut_lineage(search.term_weights(spread, ["id"], "t"))  # written once: postings, frequencies and their number are read from it
     return search.sparse_search(query_words(spark, d), index, search.inverse_frequency(index, ["id"]), k)
 
 
