@@ -125,3 +125,16 @@ def test_knn_is_exact_over_blocks(spark):
         s = np.round(u @ u[q], 6)
         s[q] = -9
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == list(np.lexsort((np.arange(300), -s))[:4])
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_knn_ties_beyond_the_block_winners(spark, scaled):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(1, 8)), 300, axis=0) * (r.uniform(0.1, 30, size=(300, 1)) if scaled else 1)
+    ids = r.permutation(300).tolist()
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x.astype("float32"))] + [(1000 + i, v.tolist()) for i, v in enumerate(r.normal(size=(100, 8)))], "id bigint, v array<float>")
+    got = search.knn(base.where("id in (0, 150, 299)").selectExpr("id as query_id", "v"), base, 4).collect()
+    for q, want in ((0, [1, 2, 3, 4]), (150, [0, 1, 2, 3]), (299, [0, 1, 2, 3])):
+        assert [h.id for h in sorted((h for h in got if h.query_id == q), key=lambda h: h["rank"])] == want
