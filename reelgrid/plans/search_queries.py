@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions.scalar import time_window, usable_vector
 from reelgrid.functions.text import nfc
-from reelgrid.operators import etl, ranking, search, sequence, temporal
+from reelgrid.operators import etl, per_video, ranking, search, sequence, temporal
 from reelgrid.session import cut_lineage, once_per_key, parallelism, table
 
 DIM = 96
@@ -280,12 +280,35 @@ def trake_search(spark, d):
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("query_id", "rank", "video_id", F.round("score", 6).alias("score"), "video_rank", F.concat_ws(",", F.transform("picks", lambda p: p["frame_id"].cast("string"))).alias("frames"))
 
 
+def _event_queries(spark, d):
+    p = points_of(spark, d).where(F.col("id") % EVERY == 0)
+    event = F.pmod(F.floor(F.col("id") / EVERY), F.lit(3)).cast("int")
+    return p.select(F.floor(F.col("id") / (3 * EVERY)).alias("query_id"), event.alias("event"), F.col("id").alias("point_id"), "v")
+
+
+def _video_points(spark, d):
+    """Every point with a known frame, for searches inside the videos; written once."""
+    f = frames_of(spark, d).where("original_frame_id is not null").select("video_id", "keyframe_n", F.coalesce("shot_id", F.lit(0)).alias("shot_id"), F.col("original_frame_id").alias("frame_id"), "pts_sec", F.col("key"))
+    p = points_of(spark, d).withColumnRenamed("id", "point_id").join(f, ["video_id", "keyframe_n"])
+    return cut_lineage(p.select("point_id", "video_id", "frame_id", "pts_sec", "shot_id", F.col("key").alias("id"), "v"))
+
+
+def topn_every_video(spark, d):
+    """``topn_per_video`` out of all points of each video, not of a pool of 200."""
+    return per_video.slots_of_videos(_event_queries(spark, d), _video_points(spark, d)).select("query_id", "event", "video_id", "place", "frame_id", "id", "score")
+
+
+def trake_every_video(spark, d):
+    """``trake_sequence`` over all points of every video, not of a pool of 200."""
+    return per_video.sequences_of_videos(_event_queries(spark, d), _video_points(spark, d), 3).select("query_id", "video_id", F.round("score", 6).alias("score"))
+
+
 def neighbours(spark, d):
     f = frames_of(spark, d).select("video_id", "keyframe_n", "shot_id", "original_frame_id").where("original_frame_id is not null")
     return sequence.neighbours(f, f.where("keyframe_n % 25 = 0").select("video_id", "keyframe_n"), 2)
 
 
-NAMES = [knn_topk, knn_filtered, dedupe_shot, dedupe_video, video_max_score, kis_visual, overfetch_dedupe, minmax_normalize, frame_clip_fusion, rrf_two_list, rrf_multi_list, hybrid_search, token_tf, token_df, idf_sparse_topk, ocr_search, asr_weighted_fusion, speech_overlap_bonus, kis_visual_asr, asr_nearest_frame, asr_only, rerank_head, stage_a_videos, topn_per_video, trake_sequence, trake_alternates, trake_search, neighbours]
+NAMES = [knn_topk, knn_filtered, dedupe_shot, dedupe_video, video_max_score, kis_visual, overfetch_dedupe, minmax_normalize, frame_clip_fusion, rrf_two_list, rrf_multi_list, hybrid_search, token_tf, token_df, idf_sparse_topk, ocr_search, asr_weighted_fusion, speech_overlap_bonus, kis_visual_asr, asr_nearest_frame, asr_only, rerank_head, stage_a_videos, topn_per_video, trake_sequence, trake_alternates, trake_search, topn_every_video, trake_every_video, neighbours]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _KEY = "(cast(substr(video_id, 2, 2) as bigint) * 1000 + cast(substr(video_id, 6, 3) as bigint)) * 100000 + {n}"
@@ -414,3 +437,7 @@ select query_id, block, id, round(score, 6) as score, row_number() over (partiti
 select b.video_id, c.keyframe_n as chosen_n, b.keyframe_n, b.shot_id, b.original_frame_id, b.shot_id = c.shot_id as is_same_shot from n c join n b on b.video_id = c.video_id and b.pos between c.pos - 2 and c.pos + 2 where c.keyframe_n % 25 = 0""",
 }
 SQL["hybrid_search"] = SQL["rrf_multi_list"].replace(" select query_id, id, round(sum(part), 8)", ", r as (select query_id, id, round(sum(part), 8)") + f"), of as (select r.*, 0 as rank, f.video_id, coalesce(f.shot_id, 0) as shot_id from r join f on r.id = f.key) {_dedupe_sql('of', 'video_id, shot_id', 20)}"
+#: Every pair of a query and a point, ranked: no pool.
+_ALL_HITS = _with(POINTS, FRAMES, _hits_sql(2**62), HF, EVENTS)
+SQL["topn_every_video"] = _ALL_HITS + " select query_id, event, video_id, place, frame_id, id, score from sl"
+SQL["trake_every_video"] = _ALL_HITS + ", " + SEQUENCE.format(slots="sl") + " select query_id, video_id, round(max(score), 6) as score from sq group by all"
