@@ -12,6 +12,7 @@ from reelgrid.operators.search import DECIMALS
 from reelgrid.operators.sequence import GAP_WEIGHT, PER_VIDEO, best_sequences, top_per_video
 
 SLOTS = "query_id bigint, event int, video_id string, frame_id bigint, pts_sec double, shot_id int, id bigint, score double"
+MAXIMA = "query_id bigint, event int, video_id string, score double"
 CHAINS = "query_id bigint, video_id string, score double, frames array<bigint>"
 #: Rows of a video beyond this are searched in pieces.
 BLOCK_ROWS = 5_000
@@ -30,6 +31,12 @@ def slots_of_videos(queries: DataFrame, base: DataFrame, n: int = PER_VIDEO, blo
     return top_per_video(_in_blocks(queries, _pieces(base, block_rows), _slots(n), SLOTS, block_rows), n)
 
 
+def scores_of_videos(queries: DataFrame, base: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, event, video_id, score): the best score of every video, over all its points."""
+    found = _in_blocks(queries, _pieces(base, block_rows), _maxima, MAXIMA, block_rows)
+    return found.groupBy("query_id", "event", "video_id").agg(F.max("score").alias("score"))
+
+
 def sequences_of_videos(queries: DataFrame, base: DataFrame, n_events: int, n: int = PER_VIDEO, max_gap: float = 300.0, gap_weight: float = GAP_WEIGHT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, video_id, score, frames): ``best_sequences`` of ``slots_of_videos``, for every video.
 
@@ -99,6 +106,16 @@ def _best(x: np.ndarray, asked: np.ndarray, y: np.ndarray, own: np.ndarray, n: i
     return np.where(ok, key % m, 0), -(key // m) / 10.0**DECIMALS, ok
 
 
+def _maxima(keys, asked, own, rows: pa.Table) -> list[pa.Table]:
+    parts = []
+    step = max(1, CELLS // rows.num_rows)
+    for i in range(0, len(keys[0]), step):
+        _, score, ok = _best(asked[0][i : i + step], asked[1][i : i + step], *own, 1)
+        r = np.flatnonzero(ok[:, 0])
+        parts.append(pa.table({"query_id": keys[0][i + r], "event": keys[1][i + r], "video_id": pa.repeat(rows.column("video_id")[0], len(r)), "score": score[r, 0]}))
+    return parts
+
+
 def _slots(n: int):
     def run(keys, asked, own, rows: pa.Table) -> list[pa.Table]:
         parts = []

@@ -62,13 +62,18 @@ def with_frames(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     return h.withColumn("id", frame_key())
 
 
-def clip_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """Hits of whole shots: the query against the mean of the shot's vectors."""
-    p = points_of(spark, d)
+def _pooled_shots(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    """(id, video_id, shot_id, v): the mean of each shot's vectors, named by its smallest point."""
     f = frames_of(spark, d).select("video_id", "keyframe_n", "shot_id")
     v = p.join(f, ["video_id", "keyframe_n"])
     pooled = etl.mean_pool(v, ["video_id", "shot_id"], "v").where("v is not null")
-    keyed = cut_lineage(pooled.join(v.groupBy("video_id", "shot_id").agg(F.min("id").alias("id")), ["video_id", "shot_id"]))  # counted, searched and joined
+    return cut_lineage(pooled.join(v.groupBy("video_id", "shot_id").agg(F.min("id").alias("id")), ["video_id", "shot_id"]))  # counted, searched and joined
+
+
+def clip_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Hits of whole shots: the query against the mean of the shot's vectors."""
+    p = points_of(spark, d)
+    keyed = _pooled_shots(spark, d, p)
     q = p.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
     return search.knn(q, keyed.select("id", "v"), k, exclude_self=False).join(keyed.select("id", "video_id", "shot_id"), "id")
 
@@ -303,12 +308,27 @@ def trake_every_video(spark, d):
     return per_video.sequences_of_videos(_event_queries(spark, d), _video_points(spark, d), 3).select("query_id", "video_id", F.round("score", 6).alias("score"))
 
 
+def stage_a_every_video(spark, d):
+    """``stage_a_videos`` with each video's best score over all its points and shots."""
+    q = cut_lineage(_event_queries(spark, d))
+    e = per_video.scores_of_videos(q, _video_points(spark, d))
+    # No point_id: a shot is named by one of its points, and that point asks it too.
+    first = q.where("event = 0").select("query_id", "event", F.lit(-1).cast("bigint").alias("point_id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    none = F.lit(None)
+    shots = _pooled_shots(spark, d, points_of(spark, d)).select(F.col("id").alias("point_id"), "video_id", none.cast("bigint").alias("frame_id"), none.cast("double").alias("pts_sec"), "shot_id", "id", "v")
+    overview = per_video.scores_of_videos(first, shots).select("query_id", "video_id", "score")
+    n = q.select("query_id").distinct().withColumn("n", F.lit(3))
+    a = sequence.candidate_videos(overview, e, n, limit=100)
+    parts = F.concat_ws(",", F.transform("event_scores", lambda x: F.format_string("%.6f", x)))
+    return a.select("query_id", "video_id", F.round("score", 6).alias("score"), F.round("overview_score", 6).alias("overview_score"), parts.alias("event_scores"))
+
+
 def neighbours(spark, d):
     f = frames_of(spark, d).select("video_id", "keyframe_n", "shot_id", "original_frame_id").where("original_frame_id is not null")
     return sequence.neighbours(f, f.where("keyframe_n % 25 = 0").select("video_id", "keyframe_n"), 2)
 
 
-NAMES = [knn_topk, knn_filtered, dedupe_shot, dedupe_video, video_max_score, kis_visual, overfetch_dedupe, minmax_normalize, frame_clip_fusion, rrf_two_list, rrf_multi_list, hybrid_search, token_tf, token_df, idf_sparse_topk, ocr_search, asr_weighted_fusion, speech_overlap_bonus, kis_visual_asr, asr_nearest_frame, asr_only, rerank_head, stage_a_videos, topn_per_video, trake_sequence, trake_alternates, trake_search, topn_every_video, trake_every_video, neighbours]
+NAMES = [knn_topk, knn_filtered, dedupe_shot, dedupe_video, video_max_score, kis_visual, overfetch_dedupe, minmax_normalize, frame_clip_fusion, rrf_two_list, rrf_multi_list, hybrid_search, token_tf, token_df, idf_sparse_topk, ocr_search, asr_weighted_fusion, speech_overlap_bonus, kis_visual_asr, asr_nearest_frame, asr_only, rerank_head, stage_a_videos, topn_per_video, trake_sequence, trake_alternates, trake_search, topn_every_video, trake_every_video, stage_a_every_video, neighbours]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _KEY = "(cast(substr(video_id, 2, 2) as bigint) * 1000 + cast(substr(video_id, 6, 3) as bigint)) * 100000 + {n}"
@@ -441,3 +461,4 @@ SQL["hybrid_search"] = SQL["rrf_multi_list"].replace(" select query_id, id, roun
 _ALL_HITS = _with(POINTS, FRAMES, _hits_sql(2**62), HF, EVENTS)
 SQL["topn_every_video"] = _ALL_HITS + " select query_id, event, video_id, place, frame_id, id, score from sl"
 SQL["trake_every_video"] = _ALL_HITS + ", " + SEQUENCE.format(slots="sl") + " select query_id, video_id, round(max(score), 6) as score from sq group by all"
+SQL["stage_a_every_video"] = _with(POINTS, FRAMES, _hits_sql(2**62), HF, CLIP_HITS.format(k=2**62), EVENTS, STAGE_A) + SQL["stage_a_videos"][SQL["stage_a_videos"].rindex(" select query_id, video_id, round(score, 6)") :]

@@ -34,3 +34,11 @@ def test_own_point_is_no_hit(spark):
     _, base = tables(spark)
     asked = base.where("point_id = 5000").selectExpr("cast(1 as bigint) as query_id", "0 as event", "point_id", "v")
     assert {r.id for r in per_video.slots_of_videos(asked, base).where("video_id = 'b'").collect()} == {5001, 5002}
+
+
+@pytest.mark.parametrize("block_rows", [100, 5_000])
+def test_every_video_has_its_best_score(spark, block_rows):
+    asked, base = tables(spark)
+    got = {(r.query_id, r.event, r.video_id): r.score for r in per_video.scores_of_videos(asked, base, block_rows).collect()}
+    best = per_video.slots_of_videos(asked, base).where("place = 1").collect()
+    assert len(got) == 14 and got == {(r.query_id, r.event, r.video_id): r.score for r in best}
