@@ -247,7 +247,15 @@ def timeline(spark, d):
     return f.select("keyframe_n", "shot_id", "pts_sec", F.round(F.lead("pts_sec").over(W.partitionBy("video_id").orderBy("pts_sec", "keyframe_n")) - F.col("pts_sec"), 6).alias("to_next"))
 
 
-NAMES = [asof_snap, asof_strict, asof_nearest, inshot_nearest, overlap_semi, text_in_window, entities_in_window, scenes_from_scores, merge_short_scenes, find_cuts, plan_targets, plan_windows, sharpest_frame, shot_coverage_check, frame_bounds, submission_rows, ocr_region_filter, ocr_by_shot, objects_topset, caption_join, merge_last_wins, payload_merge, keyed_upsert, mean_pool_clip, point_id_hex, point_id_number, frame_seconds, drift_stats, transcript_choice, transcript_report, clean_entities, invalid_rows, clean_titles, keyframes_per_shot, timeline]
+def timeline_every_video(spark, d):
+    """``timeline`` of every video."""
+    from pyspark.sql import Window as W
+
+    f = frames_of(spark, d).where("pts_sec is not null")
+    return f.select("video_id", "keyframe_n", "shot_id", "pts_sec", F.round(F.lead("pts_sec").over(W.partitionBy("video_id").orderBy("pts_sec", "keyframe_n")) - F.col("pts_sec"), 6).alias("to_next"))
+
+
+NAMES = [asof_snap, asof_strict, asof_nearest, inshot_nearest, overlap_semi, text_in_window, entities_in_window, scenes_from_scores, merge_short_scenes, find_cuts, plan_targets, plan_windows, sharpest_frame, shot_coverage_check, frame_bounds, submission_rows, ocr_region_filter, ocr_by_shot, objects_topset, caption_join, merge_last_wins, payload_merge, keyed_upsert, mean_pool_clip, point_id_hex, point_id_number, frame_seconds, drift_stats, transcript_choice, transcript_report, clean_entities, invalid_rows, clean_titles, keyframes_per_shot, timeline, timeline_every_video]
 QUERIES = {f.__name__: f for f in NAMES} | {"quoted_spans": quoted_spans_query}
 
 
@@ -326,6 +334,7 @@ union all select 'video', case when video_id is null then 'null key' when coales
     "clean_titles": _w(SPEECH) + f"select case when author is null or lower(trim(author)) in {_EMPTY} then '' else trim(author) end as author, count(*) as segments, count(distinct video_id) as videos from s group by 1",
     "keyframes_per_shot": _w(FRAMES, CLIPS) + "select c.video_id, c.shot_id, count(f.keyframe_n) as keyframe_count from c left join f on f.video_id = c.video_id and f.shot_id = c.shot_id group by all",
     "timeline": _w(FRAMES) + "select keyframe_n, shot_id, pts_sec, round(lead(pts_sec) over (order by pts_sec, keyframe_n) - pts_sec, 6) as to_next from f where video_id = 'L02_V001' and pts_sec is not null",
+    "timeline_every_video": _w(FRAMES) + "select video_id, keyframe_n, shot_id, pts_sec, round(lead(pts_sec) over (partition by video_id order by pts_sec, keyframe_n) - pts_sec, 6) as to_next from f where pts_sec is not null",
     "submission_rows": _w(FRAMES) + """, m as (select video_id, max(original_frame_id) as x from f group by all), b as (select v.video_id, greatest(cast(floor(floor(duration_sec) * fps_num / fps_den) as bigint), x + 1) as u from (select distinct * from videos) v left join m using (video_id)),
 r as (select video_id, list(original_frame_id order by keyframe_n) as l from f where keyframe_n <= 3 and original_frame_id is not null group by all)
 select r.video_id, array_to_string(l, ',') as frames, case when b.video_id is null then 'unknown video' when list_max(l) >= u then 'frame out of bounds' when len(list_filter(range(1, len(l)), lambda i: l[i] >= l[i + 1])) > 0 then 'frames not rising' else 'ok' end as reason from r left join b using (video_id)""",

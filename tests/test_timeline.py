@@ -1,0 +1,14 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelgrid.plans import registry
+from tests.conftest import DATA, needs_data
+
+
+@needs_data
+def test_every_video_has_a_timeline(spark):
+    f = spark.read.parquet(f"{DATA}/frames.parquet").where("pts_sec is not null")
+    got = registry.QUERIES["timeline_every_video"](spark, str(DATA))
+    assert {r.video_id for r in got.select("video_id").distinct().collect()} == {r.video_id for r in f.select("video_id").distinct().collect()}
+    assert {r.n for r in got.groupBy("video_id").agg(F.sum(F.col("to_next").isNull().cast("int")).alias("n")).collect()} == {1}
