@@ -145,6 +145,8 @@ def similar_vectors(df: DataFrame, point: str, vector: str, k: int = 10, dim: in
     n = df.count()  # from the files' footers; an upper bound of the usable rows
     pick = rows if n <= sample_rows else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
     sample = pick.select("v").limit(2 * sample_rows).toArrow().column("v").combine_chunks()
+    if not len(sample) and n > sample_rows:  # few of many rows are usable and the draw missed them
+        sample = rows.select("v").limit(sample_rows).toArrow().column("v").combine_chunks()
     if not len(sample):
         return rows.select(F.col("id").alias("point_a"), F.col("id").alias("point_b"), F.lit(1.0).alias("cosine")).limit(0)
     router = train_router(unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)), min(parts_most, round(n / part_rows)), seed)

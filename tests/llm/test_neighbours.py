@@ -56,3 +56,9 @@ def test_unusable_vectors_and_few_rows(spark):
     assert similar_vectors(frame(spark, []), "p", "v", dim=2).collect() == []
     assert similar_vectors(frame(spark, [(4, [0, 0])]), "p", "v", dim=2).collect() == []
     assert similar_vectors(frame(spark, [(1, [1, 0])] * 3), "p", "v", dim=2).collect() == []
+
+
+def test_few_usable_rows_that_the_draw_misses(spark):
+    rows = [(i, [1, i / 10]) for i in range(3)] + [(i, None) for i in range(3, 3000)]
+    got = {(r.point_a, r.point_b) for r in similar_vectors(frame(spark, rows), "p", "v", k=1, dim=2, sample_rows=1).collect()}
+    assert got == {(0, 1), (1, 2), (2, 1)}
