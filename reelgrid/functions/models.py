@@ -7,9 +7,11 @@ values and returns as many vectors, which are checked and scaled to length 1.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +77,94 @@ def sparse_encoder(load: Callable[[], object], apply: Callable[[object, list[str
     return run
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A kind of vectors: which model makes them, their size, and how they are asked for."""
+
+    name: str
+    model_id: str
+    dim: int
+    kind: str
+    batch: int = 64
+    most_tokens: int | None = None
+
+
+_PROFILES: dict[str, Profile] = {}
+
+
+def register_profile(profile: Profile) -> Profile:
+    """Makes a profile known by its name; another one of the same name is refused."""
+    if _PROFILES.setdefault(profile.name, profile) != profile:
+        raise ValueError(f"there is another profile {profile.name}")
+    return profile
+
+
+def profile(name: str, kind: str | None = None) -> Profile:
+    """The profile of a name; an error if it is unknown or of another kind (image or text)."""
+    if name not in _PROFILES:
+        raise ValueError(f"no profile {name}; there are {', '.join(sorted(_PROFILES)) or 'none'}")
+    if kind is not None and _PROFILES[name].kind != kind:
+        raise ValueError(f"profile {name} is for {_PROFILES[name].kind}, not {kind}")
+    return _PROFILES[name]
+
+
+def pair_scorer(load: Callable[[], object], apply: Callable[[object, list[str], list], np.ndarray], batch: int = 32):
+    """A column function (text, bytes or text) to a score, for reranking; null where either side is."""
+    model = _Lazy(load)
+
+    @F.arrow_udf(T.DoubleType())
+    def run(texts: pa.Array, items: pa.Array) -> pa.Array:
+        a, b = texts.to_pylist(), items.to_pylist()
+        at = [i for i in range(len(a)) if a[i] is not None and b[i] is not None]
+        out: list = [None] * len(a)
+        for i in range(0, len(at), batch):
+            part = at[i : i + batch]
+            for j, v in zip(part, np.asarray(apply(model(), [a[j] for j in part], [b[j] for j in part]), np.float64)):
+                out[j] = float(v)
+        return pa.array(out, pa.float64())
+
+    return run
+
+
+def text_rewriter(load: Callable[[], object], apply: Callable[[object, list[str]], list[str | None]]):
+    """A column function from texts to rewritten texts; where the model gives none or fails, the text stays as it is."""
+    model = _Lazy(load)
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        given = texts.to_pylist()
+        at = [i for i, t in enumerate(given) if t]
+        try:
+            made = apply(model(), [given[i] for i in at]) if at else []
+        except Exception:  # a search goes on with the words it was given
+            made = []
+        for i, t in zip(at, made):
+            given[i] = t or given[i]
+        return pa.array(given, pa.string())
+
+    return run
+
+
+def by_video(frames: DataFrame, run: Callable[[list[np.ndarray]], np.ndarray], picture: str, schema: str = "video_id string, frame bigint, score double") -> DataFrame:
+    """(video_id, frame, score): ``run`` over each video's pictures in order of ``frame``; a failure fails the job.
+
+    ``frames``: video_id, frame, ``picture`` (an array of bytes of one size). One video is one group, as
+    such models look at neighbouring pictures.
+    """
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("frame")
+        made = run([np.frombuffer(b, np.uint8) for b in t.column(picture).to_pylist()])
+        return pa.table({"video_id": t.column("video_id"), "frame": t.column("frame"), "score": np.asarray(made, np.float64)})
+
+    return frames.select("video_id", F.col("frame").cast("bigint").alias("frame"), picture).groupBy("video_id").applyInArrow(one, schema)
+
+
+def differences(pictures: list[np.ndarray]) -> np.ndarray:
+    """Of each picture the mean absolute difference to the one before; 0 for the first."""
+    return np.array([0.0] + [mean_difference(a, b) for a, b in zip(pictures, pictures[1:])])[: len(pictures)]
+
+
 def sharpness(gray: np.ndarray) -> float:
     """Variance of the Laplacian of a grey picture."""
     g = gray.astype(np.float64)

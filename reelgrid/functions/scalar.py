@@ -90,3 +90,13 @@ def feedback_vector(query: Column, liked: Column, disliked: Column, alpha: float
 
     moved = F.zip_with(F.transform(query, lambda x: alpha * x.cast("double")), mean(liked), lambda q, m: q + beta * m)
     return F.zip_with(moved, mean(disliked), lambda q, m: q - gamma * m)
+
+
+def caption_budget(texts: Column) -> Column:
+    """Words a model may write for captions of an array of queries."""
+    return 64 * F.size(texts) + 64
+
+
+def clean_budget(texts: Column) -> Column:
+    """Words a model may write to repeat an array of queries without their phrasing."""
+    return F.floor(F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t)) / 2) + 32 * F.size(texts) + 64

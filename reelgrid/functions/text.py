@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 LONGEST_TOKEN = 24
 # Spellings that mean "no value".
 NO_VALUE = ["", "nan", "none", "null"]
-# Openings that are no quotation from the screen.
-HEDGES = ["có thể", "không rõ", "unknown", "n/a"]
+# A quotation that holds one of these was not read from the screen.
+HEDGES = ["không rõ", "không thể", "không đọc", "không nhìn", "mờ", "bị che"]
 
 
 @lru_cache(maxsize=1)
@@ -37,9 +37,9 @@ def nfc(texts: pa.Array) -> pa.Array:
 
 
 def fold(text: Column) -> Column:
-    """Without accents: precomposed letters become their base letter and combining marks go; đ becomes d."""
+    """Without accents: precomposed letters become their base letter and non-spacing marks go; đ becomes d."""
     src, dst = _accents()
-    return F.regexp_replace(F.translate(text, src, dst), "[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(text, src, dst), r"\p{Mn}+", "")
 
 
 def tokenize(text: Column) -> Column:
@@ -69,9 +69,10 @@ def joined_texts(*texts: Column) -> Column:
 
 
 def quoted_spans(text: Column) -> Column:
-    """What stands between straight or curly double quotes, 2 to 160 characters, once each in order, no hedges."""
-    spans = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit('["“]([^"“”]{2,160})["”]'), F.lit(1))
-    kept = F.filter(F.transform(spans, lambda s: F.trim(s)), lambda s: (F.length(s) >= 2) & ~F.lower(s).isin(HEDGES))
+    """What stands in a pair of straight or of curly double quotes, 2 to 160 characters, once each in order, no hedges."""
+    spans = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit('"[^"]{2,160}"|“[^”]{2,160}”'), F.lit(0))
+    bare = F.transform(spans, lambda s: F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"^\s+|\s+$", ""))
+    kept = F.filter(bare, lambda s: (F.length(s) >= 2) & ~F.exists(F.array(*map(F.lit, HEDGES)), lambda h: F.contains(F.lower(s), h)))
     return F.array_distinct(kept)
 
 
@@ -93,3 +94,42 @@ def snapshot_name(collection: Column) -> Column:
     return F.concat(F.regexp_replace(collection, r"[^A-Za-z0-9._-]+", "_"), F.lit("-"), F.substring(F.sha2(collection, 256), 1, 12))
 
 
+def numbered_lines(text: Column, expected: Column | None = None) -> Column:
+    """The lines "1. ...", "2) ...", "3: ..." of an answer in order of their number, after a last </think>.
+
+    Null unless the numbers are exactly 1 to ``expected`` (to their count without it) and no line is
+    empty; of a repeated number the last line counts. Quotes around a line go.
+    """
+    body = F.regexp_replace(text, r"(?s)^.*</think>", "")
+    lines = F.filter(F.split(body, r"\r\n|\r|\n"), lambda l: F.rlike(l, F.lit(r"^\s*\d{1,9}\s*[.):].")))
+    pairs = F.transform(lines, lambda l: F.struct(F.regexp_extract(l, r"^\s*(\d+)", 1).cast("int").alias("n"), F.regexp_replace(F.regexp_replace(l, r"^\s*\d+\s*[.):]\s*|\s+$", ""), "^[\"'“”]+|[\"'“”]+$", "").alias("t")))
+    numbers = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["n"])))
+    count = F.size(numbers) if expected is None else expected
+    last = F.transform(numbers, lambda n: F.element_at(F.filter(pairs, lambda p: p["n"] == n), -1)["t"])
+    whole = (count > 0) & (numbers == F.sequence(F.lit(1), F.greatest(count, F.lit(1)))) & F.forall(last, lambda t: t != "")
+    return F.when(whole, last)
+
+
+# Section headings of an answer about a picture, and the word for "no text".
+TEXT_HEADINGS = ["CHỮ", "CHU"]
+CAPTION_HEADINGS = ["MÔ TẢ", "MO TA"]
+NO_TEXT = "KHÔNG"
+
+
+def picture_sections(text: Column) -> Column:
+    """STRUCT<text, caption> of an answer with the two sections; lines before the first heading belong to neither."""
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), F.lit("").alias("caption"))
+
+    def add(held: Column, line: Column, between: str) -> Column:
+        return F.when(line == "", held).when(held == "", line).otherwise(F.concat(held, F.lit(between), line))
+
+    def step(s: Column, raw: Column) -> Column:
+        line = F.regexp_replace(raw, r"^\s+|\s+$", "")
+        head = F.rtrim(F.upper(line), F.lit(":"))
+        is_text, is_caption = head.isin(TEXT_HEADINGS), head.isin(CAPTION_HEADINGS)
+        heading = is_text | is_caption
+        at = F.when(is_text, 1).when(is_caption, 2).otherwise(s["at"])
+        return F.struct(at.alias("at"), F.when(~heading & (s["at"] == 1), add(s["text"], line, "\n")).otherwise(s["text"]).alias("text"), F.when(~heading & (s["at"] == 2), add(s["caption"], line, " ")).otherwise(s["caption"]).alias("caption"))
+
+    done = F.aggregate(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), state, step)
+    return F.struct(F.when(F.startswith(F.upper(done["text"]), F.lit(NO_TEXT)), "").otherwise(done["text"]).alias("text"), done["caption"].alias("caption"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reelgrid.functions.text import clean
+from reelgrid.functions.text import clean, quoted_spans
 
 
 def last_write_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -65,10 +71,31 @@ def lead_end(start: Column, duration: Column, next_start: Column) -> Column:
     return F.greatest(F.coalesce(next_start, start + duration), start)
 
 
-def parse_entities(text: Column) -> Column:
-    """STRUCT<persons, orgs, locations> from the printed form of a dictionary with single quotes; malformed gives empty lists."""
-    d = F.from_json(F.regexp_replace(text, "'", '"'), "persons array<string>, orgs array<string>, locations array<string>")
-    return F.struct(*[F.array_distinct(F.coalesce(d[c], F.array().cast("array<string>"))).alias(c) for c in ("persons", "orgs", "locations")])
+ENTITY_LISTS = ("persons", "orgs", "locations")
+_LISTS = pa.struct([(c, pa.list_(pa.string())) for c in ENTITY_LISTS])
+
+
+def entity_lists(text: str | None) -> dict[str, list[str]]:
+    """The names of each kind in a printed dictionary, cleaned, once each in order; malformed gives none."""
+    empty: dict[str, list[str]] = {c: [] for c in ENTITY_LISTS}
+    try:
+        read = ast.literal_eval((text or "").strip())
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return empty
+    if not isinstance(read, dict):
+        return empty
+    for c in ENTITY_LISTS:
+        names = read.get(c)
+        if isinstance(names, (list, tuple, set)):
+            kept = (str(n).strip() for n in names)
+            empty[c] = list(dict.fromkeys(n for n in kept if n.lower() not in ("", "nan", "none", "null")))
+    return empty
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ENTITY_LISTS]))
+def parse_entities(texts: pa.Array) -> pa.Array:
+    """STRUCT<persons, orgs, locations> from the printed form of a dictionary, which only Python's own reader takes apart; malformed gives empty lists."""
+    return pa.array([entity_lists(t) for t in texts.to_pylist()], _LISTS)
 
 
 def pick_transcript(transcripts: DataFrame) -> DataFrame:
@@ -79,12 +106,75 @@ def pick_transcript(transcripts: DataFrame) -> DataFrame:
 
 
 def mean_pool(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """(keys, n, v): the mean of each group's vectors, scaled to length 1. Sums per position are combined before the shuffle."""
-    e = vectors.select(*keys, F.posexplode(vector).alias("p", "x"))
-    per = e.groupBy(*keys, "p").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    v = per.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "x"))).alias("a")).select(*keys, "n", F.col("a.x").alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return v.withColumn("v", F.when(length > 0, F.transform("v", lambda x: x / length)))
+    """(keys, n, v): each group's vectors scaled to length 1, their mean, and that scaled to length 1 again.
+
+    Sums are taken within Arrow batches before the shuffle and merged over runs of a sorted partition
+    after it, so a group of any size is one row per batch and never in one place. Null vectors and such
+    without a length are left out; a mean of no length is null. All vectors are of one size.
+    """
+    rows = vectors.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).cast("array<double>").alias("v"))
+    kinds = ", ".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in keys)
+    sums = rows.mapInArrow(lambda b: _sums(b, len(keys)), f"{kinds}, n bigint, v array<double>")
+    ordered = sums.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(lambda b: _means(b, len(keys)), f"{kinds}, n bigint, v array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _groups(b: pa.RecordBatch, keys: int) -> np.ndarray:
+    """A number for each row's key, null being a value like any other."""
+    code = np.zeros(b.num_rows, np.int64)
+    for i in range(keys):
+        d = b.column(i).dictionary_encode(null_encoding="encode")
+        _, code = np.unique(code * (len(d.dictionary) + 1) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    return code
+
+
+def _batch(b: pa.RecordBatch, keys: int, at: np.ndarray, n: np.ndarray, x: np.ndarray, empty: np.ndarray | None = None) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+    v = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()), mask=None if empty is None else pa.array(empty))
+    return pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at)) for i in range(keys)), pa.array(n, pa.int64()), v], [*b.schema.names[:keys], "n", "v"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = _matrix(b.column(keys))
+        length = np.sqrt((x * x).sum(axis=1))
+        good = np.flatnonzero(length > 0)
+        if not len(good):
+            continue
+        code = _groups(b, keys)[good]
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
+        unit = x[good[order]] / length[good[order], None]
+        yield _batch(b, keys, good[order[starts]], np.diff([*starts, len(order)]), np.add.reduceat(unit, starts, axis=0))
+
+
+def _means(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    held: pa.RecordBatch | None = None  # the sums of the last key so far, which may go on in the next batch
+
+    def scaled(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = _matrix(b.column(keys + 1))
+        length = np.sqrt((x * x).sum(axis=1))
+        none = length <= 1e-12 * b.column(keys).to_numpy()
+        return _batch(b, keys, np.arange(len(x)), b.column(keys).to_numpy(), x / np.where(none, 1, length)[:, None], none)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(_groups(b, keys)) != 0]))
+        merged = _batch(b, keys, starts, np.add.reduceat(b.column(keys).to_numpy(), starts), np.add.reduceat(_matrix(b.column(keys + 1)), starts, axis=0))
+        held = merged.slice(merged.num_rows - 1)
+        if merged.num_rows > 1:
+            yield scaled(merged.slice(0, merged.num_rows - 1))
+    if held is not None:
+        yield scaled(held)
 
 
 def nearest_rank(values: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
@@ -94,3 +184,54 @@ def nearest_rank(values: DataFrame, keys: list[str], value: str, share: float) -
     w = W.partitionBy(*keys)
     n = values.withColumn("_p", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
     return n.where(F.col("_p") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(*keys, value)
+
+
+def join_captions(frames: DataFrame, captions: DataFrame) -> DataFrame:
+    """Frames with ``caption_vi`` and ``ocr_text_vlm``, the quoted words of the caption; '' where there is no caption.
+
+    ``captions``: video_id, keyframe_n, caption; columns of these names that the frames had are replaced.
+    """
+    keys = ["video_id", "keyframe_n"]
+    kept = frames.drop("caption_vi", "ocr_text_vlm")
+    joined = kept.join(captions.select(*keys, F.col("caption").alias("caption_vi")), keys, "left")
+    return joined.withColumn("caption_vi", F.coalesce("caption_vi", F.lit(""))).withColumn("ocr_text_vlm", F.array_join(quoted_spans(F.col("caption_vi")), " "))
+
+
+def shot_text(regions: DataFrame) -> DataFrame:
+    """(video_id, shot_id, ocr_text, ocr_regions): the different regions of each shot in order of keyframe and place.
+
+    ``regions``: video_id, shot_id, keyframe_n, pos, text. A region counts once, combined before the shuffle.
+    """
+    once = regions.groupBy("video_id", "shot_id", "text").agg(F.min(F.struct("keyframe_n", "pos")).alias("at"))
+    listed = once.groupBy("video_id", "shot_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("r"))
+    return listed.select("video_id", "shot_id", F.array_join(F.col("r.text"), " ").alias("ocr_text"), F.size("r").alias("ocr_regions"))
+
+
+def with_shot_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Frames or clips with their shot's ``ocr_text`` and ``ocr_regions``; '' and 0 where it has none."""
+    joined = rows.drop("ocr_text", "ocr_regions").join(texts, ["video_id", "shot_id"], "left")
+    return joined.withColumn("ocr_text", F.coalesce("ocr_text", F.lit(""))).withColumn("ocr_regions", F.coalesce("ocr_regions", F.lit(0)))
+
+
+def with_rate(rows: DataFrame, videos: DataFrame, fallback: tuple[int, int] | None = None) -> DataFrame:
+    """Rows with fps_num and fps_den of their video, else of ``fallback``; without either, reading the row is an error."""
+    v = refuse_variable_rate(videos).select("video_id", "fps_num", "fps_den")
+    joined = rows.join(v, "video_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no frame rate for "), F.col("video_id"))).cast("int")
+    for c, x in zip(("fps_num", "fps_den"), fallback or (None, None)):
+        joined = joined.withColumn(c, F.coalesce(F.col(c), missing if x is None else F.lit(x)))
+    return joined
+
+
+def non_empty_payload(row_fields: list[str], keep: tuple[str, ...] = ()) -> Column:
+    """JSON of the fields that carry something: no nulls, empty texts or lists and zeros, but for those of ``keep``."""
+
+    def filled(c: str) -> Column:
+        return F.col(c) if c in keep else F.when(~F.to_json(F.struct(F.col(c).alias("x"))).isin("{}", '{"x":""}', '{"x":[]}', '{"x":{}}', '{"x":0}', '{"x":0.0}', '{"x":false}'), F.col(c))
+
+    return F.to_json(F.struct(*[filled(c).alias(c) for c in row_fields]))
+
+
+def replace_vectors(points: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Points with another model's vector; all other columns, sparse weights among them, stay. Points without a new vector are left out."""
+    return points.drop(vector).join(vectors.select(key, vector), key)

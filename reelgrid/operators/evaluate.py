@@ -50,31 +50,53 @@ def distinctiveness(docs: DataFrame, keys: list[str], text: str, entities: str,
 
 
 def best_window(docs: DataFrame, keys: list[str], text: str, idf: DataFrame, words: int = WINDOW) -> DataFrame:
-    """(keys, best_text): the run of ``words`` words of the largest idf sum, the first of equal ones; short texts stay whole."""
+    """(keys, best_text): the run of ``words`` words of the largest idf sum, the first of equal ones; short texts stay whole.
+
+    Sums run over the words of one text; the words themselves are cut from the text once the place is known.
+    """
     d = docs.select(*keys, F.col(text).alias("_text"), F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ").alias("_words"))
     long = d.where(F.size("_words") > words)
-    w = long.select(*keys, F.posexplode("_words").alias("p", "word"))
-    terms = w.select(*keys, "p", F.explode(F.array_distinct(tokenize(F.col("word")))).alias("token")).join(idf, "token").groupBy(*keys, "p").agg(F.sum("idf").alias("s"))
-    scored = w.join(terms, [*keys, "p"], "left").select(*keys, "p", "word", F.coalesce("s", F.lit(0.0)).alias("s"))
-    over = W.partitionBy(*keys).orderBy("p")
-    run = over.rowsBetween(0, words - 1)
-    r = scored.withColumn("total", F.round(F.sum("s").over(run), 9)).withColumn("n", F.count("*").over(run)).withColumn("span", F.collect_list("word").over(run)).where(F.col("n") == words)
-    best = r.groupBy(*keys).agg(F.min_by("span", F.struct((-F.col("total")).alias("t"), "p")).alias("b")).select(*keys, F.concat_ws(" ", "b").alias("best_text"))
-    return d.where(F.size("_words") <= words).select(*keys, F.col("_text").alias("best_text")).unionByName(best)
+    w = long.select(*keys, F.size("_words").alias("n"), F.posexplode("_words").alias("p", "word"))
+    terms = w.select(*keys, "n", "p", F.explode_outer(F.array_distinct(tokenize(F.col("word")))).alias("token")).join(idf, "token", "left")
+    scored = terms.groupBy(*keys, "n", "p").agg(F.coalesce(F.sum("idf"), F.lit(0.0)).alias("s"))
+    run = W.partitionBy(*keys).orderBy("p").rowsBetween(0, words - 1)
+    r = scored.withColumn("total", F.round(F.sum("s").over(run), 9)).where(F.col("p") + words <= F.col("n"))
+    best = r.groupBy(*keys).agg(F.min_by("p", F.struct((-F.col("total")).alias("t"), "p")).alias("_p"))
+    cut = long.join(best, keys).select(*keys, F.array_join(F.slice("_words", F.col("_p") + 1, F.lit(words)), " ").alias("best_text"))
+    return d.where(F.size("_words") <= words).select(*keys, F.col("_text").alias("best_text")).unionByName(cut)
 
 
 def one_per_question(candidates: DataFrame, per_video: int = 3, limit: int = 300) -> DataFrame:
     """Questions whose text occurs in one video only, at most ``per_video`` each, the most distinctive first.
 
-    ``candidates``: best_text, video_id, shot_id, distinctiveness, start_sec. Out: the question with its
-    answers; the limit is the size of the evaluation set that is asked for.
+    ``candidates``: best_text, video_id, shot_id, distinctiveness, start_sec, frames. Out: the question with its
+    answers, shots and frames; the limit is the size of the evaluation set that is asked for.
     """
-    g = candidates.groupBy("best_text").agg(F.countDistinct("video_id").alias("videos"), F.min("video_id").alias("video_id"), F.max("distinctiveness").alias("distinctiveness"), F.sort_array(F.collect_set("shot_id")).alias("answers"), F.min("start_sec").alias("start_sec")).where("videos = 1").drop("videos")
+    g = candidates.groupBy("best_text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("frames")))).alias("answer_frames"), F.countDistinct("video_id").alias("videos"), F.min("video_id").alias("video_id"), F.max("distinctiveness").alias("distinctiveness"), F.sort_array(F.collect_set("shot_id")).alias("answers"), F.min("start_sec").alias("start_sec")).where("videos = 1").drop("videos")
     order = [F.desc(F.round("distinctiveness", 6)), F.col("best_text")]
     g = g.withColumn("_r", F.row_number().over(W.partitionBy("video_id").orderBy(*order))).where(F.col("_r") <= per_video).drop("_r")
     return g.orderBy(*order).limit(limit)
 
 
+LEAST_TOKENS = 6
+MOST_KEYFRAMES = 30
+
+
+def shot_frames(frames: DataFrame) -> DataFrame:
+    """(video_id, shot_id, frames): the frame numbers of each shot's keyframes in order."""
+    return frames.groupBy("video_id", "shot_id").agg(F.sort_array(F.collect_list("original_frame_id")).alias("frames"))
+
+
+def askable(candidates: DataFrame, frames: DataFrame, text: str, least_tokens: int = LEAST_TOKENS, most_keyframes: int = MOST_KEYFRAMES) -> DataFrame:
+    """The shots a question can be made of, with their ``frames``: enough words, and some keyframes but not too many.
+
+    A shot without a keyframe can never be found, one with very many is found by chance.
+    """
+    n = frames.groupBy("video_id", "shot_id").agg(F.count("original_frame_id").alias("_n")).where((F.col("_n") > 0) & (F.col("_n") <= most_keyframes)).drop("_n")
+    few = shot_frames(frames.where("original_frame_id is not null").join(n, ["video_id", "shot_id"], "left_semi"))
+    return candidates.where(F.size(tokenize(F.col(text))) >= least_tokens).join(few, ["video_id", "shot_id"])
+
+
 def remap_answers(answers: DataFrame, frame_times: DataFrame, shots: DataFrame) -> DataFrame:
     """(query_id, answer_shot_ids, lost): answer frames moved to another shot list by their times.
 

@@ -47,38 +47,61 @@ def video_scores(hits: DataFrame) -> DataFrame:
 
 
 def normalize(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Min-max to 0..1 within ``by``; where all scores are equal, 1."""
-    keys = by or ["query_id"]
-    span = hits.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    score = F.when(F.col("_hi") <= F.col("_lo"), 1.0).otherwise((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    return hits.join(span, keys).withColumn("score", score).drop("_lo", "_hi")
+    """Min-max to 0..1 within ``by``; where all scores are equal, 1. The hits are read once: a window over a hit list, no join with its own aggregate."""
+    w = W.partitionBy(*(by or ["query_id"]))
+    low, high = F.min("score").over(w), F.max("score").over(w)
+    return hits.withColumn("_lo", low).withColumn("_hi", high).withColumn("score", F.when(F.col("_hi") <= F.col("_lo"), 1.0).otherwise((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
+
+
+SHOT = ["query_id", "video_id", "shot_id"]
+
+
+def _carried(first: DataFrame, second: DataFrame) -> list[str]:
+    """The columns that both lists carry besides the key of the shot and the score."""
+    return [c for c in first.columns if c in second.columns and c not in (*SHOT, "score", "rank")]
+
+
+def _pass_through(primary: DataFrame, second: DataFrame, carried: list[str]) -> DataFrame:
+    """The primary rows of queries for which the second list is empty: uncollapsed, with their own scores."""
+    return primary.join(second.select("query_id").distinct(), "query_id", "left_anti").select(*SHOT, "score", *carried)
 
 
 def fuse_frames_and_clips(frames: DataFrame, clips: DataFrame, weight: float = CLIP_WEIGHT) -> DataFrame:
-    """(query_id, video_id, shot_id, score): frame score + weight x clip score of each shot.
+    """(query_id, video_id, shot_id, score, what both carry): frame score + weight x clip score of each shot.
 
     Both lists are collapsed to their best per shot; a shot that one list lacks gets that list's
-    smallest collapsed score. A query without clips, or a weight of 0, keeps its frame scores.
+    smallest collapsed score. The frame's row is carried, where there is none the clip's. A query
+    without clips, or a weight of 0, keeps all its frames with their own scores.
     """
-    shot = ["query_id", "video_id", "shot_id"]
-    f = best_per(frames, shot).select(*shot, F.col("score").alias("f"))
+    carried = _carried(frames, clips)
     if weight <= 0:
-        return f.withColumnRenamed("f", "score")
-    c = best_per(clips, shot).select(*shot, F.col("score").alias("c"))
-    fm, cm = f.groupBy("query_id").agg(F.min("f").alias("fm")), c.groupBy("query_id").agg(F.min("c").alias("cm"))
-    both = f.join(c, shot, "full_outer").join(fm, "query_id", "left").join(cm, "query_id", "left")
-    return both.select(*shot, (F.coalesce("f", "fm", F.lit(0.0)) + weight * F.coalesce("c", "cm", F.lit(0.0))).alias("score"))
+        return frames.select(*SHOT, "score", *carried)
+    f = best_per(frames, SHOT).select(*SHOT, F.col("score").alias("f"), F.struct(*carried).alias("fr")) if carried else best_per(frames, SHOT).select(*SHOT, F.col("score").alias("f"))
+    c = best_per(clips, SHOT).select(*SHOT, F.col("score").alias("c"), F.struct(*carried).alias("cr")) if carried else best_per(clips, SHOT).select(*SHOT, F.col("score").alias("c"))
+    query = W.partitionBy("query_id")
+    both = f.join(c, SHOT, "full_outer").withColumn("fm", F.min("f").over(query)).withColumn("cm", F.min("c").over(query))
+    row = F.when(F.col("f").isNotNull(), F.col("fr")).otherwise(F.col("cr")) if carried else None
+    fused = both.where("cm is not null").select(*SHOT, (F.coalesce("f", "fm", F.lit(0.0)) + weight * F.coalesce("c", "cm")).alias("score"), *[row[x].alias(x) for x in carried])
+    return fused.unionByName(_pass_through(frames, clips, carried))
 
 
 def rrf_two(primary: DataFrame, second: DataFrame, weight: float = SECOND_WEIGHT, k: int = RRF_K) -> DataFrame:
-    """Reciprocal ranks of two lists collapsed per shot: 1/(k + r1) + weight/(k + r2)."""
-    shot = ["query_id", "video_id", "shot_id"]
-    a = dedupe_by_shot(primary).select(*shot, F.col("rank").alias("r1"))
+    """Reciprocal ranks of two lists collapsed per shot: 1/(k + r1) + weight/(k + r2), with what both carry.
+
+    The primary row is carried, with the second one's ocr_text where it has none; where there is no
+    primary row, the second. A query whose second list is empty, or a weight of 0, keeps the primary
+    rows as they are.
+    """
+    carried = _carried(primary, second)
     if weight <= 0:
-        return a.select(*shot, (1 / (k + F.col("r1"))).alias("score"))
-    b = dedupe_by_shot(second).select(*shot, F.col("rank").alias("r2"))
+        return primary.select(*SHOT, "score", *carried)
+    row = F.struct(F.lit(1).alias("_"), *carried)
+    a = dedupe_by_shot(primary).select(*SHOT, F.col("rank").alias("r1"), row.alias("a"))
+    b = dedupe_by_shot(second).select(*SHOT, F.col("rank").alias("r2"), row.alias("b"))
     score = F.coalesce(1 / (k + F.col("r1")), F.lit(0.0)) + F.coalesce(weight / (k + F.col("r2")), F.lit(0.0))
-    return a.join(b, shot, "full_outer").select(*shot, score.alias("score"))
+    pick = [(F.coalesce("a.ocr_text", "b.ocr_text") if c == "ocr_text" else F.when(F.col("r1").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))).alias(c) for c in carried]
+    both = a.join(b, SHOT, "full_outer").withColumn("_some", F.max("r2").over(W.partitionBy("query_id"))).where("_some is not null")
+    return both.select(*SHOT, score.alias("score"), *pick).unionByName(_pass_through(primary, second, carried))
 
 
 def rrf_many(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

@@ -81,8 +81,41 @@ def alternates(slots: DataFrame, sequences: DataFrame, max_gap: float = 300.0, g
     return c.withColumn("worth", worth).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "video_id", "event", "place", "frame_id", "score")
 
 
-def neighbours(frames: DataFrame, chosen: DataFrame, radius: int) -> DataFrame:
-    """The keyframes up to ``radius`` places before and after each chosen (video_id, keyframe_n), with is_same_shot."""
-    numbered = frames.withColumn("_pos", F.row_number().over(W.partitionBy("video_id").orderBy("original_frame_id", "keyframe_n")))
-    c = chosen.join(numbered, ["video_id", "keyframe_n"]).select("video_id", F.col("keyframe_n").alias("chosen_n"), F.col("shot_id").alias("chosen_shot"), F.explode(F.sequence(F.col("_pos") - radius, F.col("_pos") + radius)).alias("_pos"))
+def neighbours(frames: DataFrame, radius: int, chosen: DataFrame | None = None, bucket: int = 5_000) -> DataFrame:
+    """The keyframes up to ``radius`` places before and after each one (or each ``chosen`` one), itself too, with is_same_shot.
+
+    ``frames``: video_id, keyframe_n, shot_id, original_frame_id; out: chosen_n, keyframe_n and the
+    other columns. Frames are numbered bucket by bucket of ``bucket`` frame numbers, so that no video is
+    in one task, and meet by their places.
+    """
+    at = frames.withColumn("_b", F.floor(F.col("original_frame_id") / bucket))
+    sizes = at.groupBy("video_id", "_b").agg(F.count("*").alias("_n"))
+    # One row per (video, bucket).
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("video_id").orderBy("_b")) - F.col("_n")).drop("_n")
+    inside = at.withColumn("_in", F.row_number().over(W.partitionBy("video_id", "_b").orderBy("original_frame_id", "keyframe_n")))
+    numbered = inside.join(before, ["video_id", "_b"]).withColumn("_pos", F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
+    own = numbered if chosen is None else numbered.join(chosen, ["video_id", "keyframe_n"], "left_semi")
+    c = own.select("video_id", F.col("keyframe_n").alias("chosen_n"), F.col("shot_id").alias("chosen_shot"), F.explode(F.sequence(F.col("_pos") - radius, F.col("_pos") + radius)).alias("_pos"))
     return c.join(numbered, ["video_id", "_pos"]).withColumn("is_same_shot", F.col("shot_id") == F.col("chosen_shot")).drop("_pos", "chosen_shot")
+
+
+def pair_scores(hits: DataFrame, max_gap: float = 300.0, top: int = 10, pair_weight: float = 10.0, mean_weight: float = 5.0) -> DataFrame:
+    """(query_id, video_id, score): of two events in a video, ``pair_weight`` x the best ordered pair + ``mean_weight`` x both events' mean of their ``top`` hits.
+
+    ``hits``: query_id, event (0 or 1), video_id, frame_id, id, pts_sec, score. The second event comes
+    after the first by at most ``max_gap`` seconds; a video without such a pair has 0 for it.
+    """
+    best = top_per_video(hits, top)
+    means = best.groupBy("query_id", "video_id").agg(*[F.coalesce(F.avg(F.when(F.col("event") == e, F.col("score"))), F.lit(0.0)).alias(f"m{e}") for e in (0, 1)])
+    side = lambda e: best.where(F.col("event") == e).select("query_id", "video_id", F.col("pts_sec").alias(f"t{e}"), F.col("score").alias(f"s{e}"))
+    gap = F.col("t1") - F.col("t0")
+    pairs = side(0).join(side(1), ["query_id", "video_id"]).where((gap > 0) & (gap <= max_gap)).groupBy("query_id", "video_id").agg(F.max(F.col("s0") + F.col("s1")).alias("pair"))
+    joined = means.join(pairs, ["query_id", "video_id"], "left")
+    return joined.select("query_id", "video_id", (pair_weight * F.coalesce("pair", F.lit(0.0)) + mean_weight * (F.col("m0") + F.col("m1"))).alias("score"))
+
+
+def rescored_by_neighbours(current: DataFrame, previous: DataFrame, following: DataFrame) -> DataFrame:
+    """The current part's hits with the best score that the parts before and after reach in the same video added; 0 where they reach none."""
+    best = lambda h, c: h.groupBy("query_id", "video_id").agg(F.max("score").alias(c))
+    joined = current.join(best(previous, "_p"), ["query_id", "video_id"], "left").join(best(following, "_f"), ["query_id", "video_id"], "left")
+    return joined.withColumn("score", F.col("score") + F.coalesce("_p", F.lit(0.0)) + F.coalesce("_f", F.lit(0.0))).drop("_p", "_f")

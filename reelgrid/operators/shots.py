@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelgrid.operators.temporal import shot_of_frame
+
 TRANSITION = 0.5
 CUT = 27.0
 SHORTEST = 15
@@ -88,14 +90,22 @@ def plan_windows(start: Column, end: Column, targets: Column, reach: int = 2) ->
 
 
 def check_shots(shots: DataFrame, frames: DataFrame) -> DataFrame:
-    """(video_id, shots, overlaps, keyframes, missing_shots, only_in): what doesn't fit between shots and keyframes."""
+    """(video_id, shots, reversed, overlaps, keyframes, outside, tail_gap, missing_shots, only_in): what doesn't fit between shots and keyframes.
+
+    ``reversed``: shots that end before they start; ``overlaps``: shots that reach into the next one;
+    ``outside``: keyframes in no shot; ``tail_gap``: frames from the last shot's end to the last
+    keyframe, if any; ``missing_shots``: keyframes that name a shot which isn't there.
+    ``shots``: video_id, shot_id, start_frame, end_frame; ``frames``: video_id, shot_id, original_frame_id.
+    """
     w = W.partitionBy("video_id").orderBy("start_frame", "shot_id")
-    s = shots.withColumn("_next", F.lead("start_frame").over(w)).groupBy("video_id").agg(F.count("*").alias("shots"), F.sum(F.when(F.col("_next") <= F.col("end_frame"), 1).otherwise(0)).alias("overlaps"))
-    f = frames.groupBy("video_id").agg(F.count("*").alias("keyframes"))
-    lost = frames.join(shots.select("video_id", "shot_id"), ["video_id", "shot_id"], "left_anti").groupBy("video_id").agg(F.count("*").alias("missing_shots"))
-    out = s.join(f, "video_id", "full_outer").join(lost, "video_id", "left")
+    s = shots.withColumn("_next", F.lead("start_frame").over(w)).groupBy("video_id").agg(F.count("*").alias("shots"), F.count_if(F.col("end_frame") < F.col("start_frame")).alias("reversed"), F.count_if(F.col("_next") <= F.col("end_frame")).alias("overlaps"), F.max("end_frame").alias("_end"))
+    placed = shot_of_frame(frames.where("original_frame_id is not null"), shots, "original_frame_id", "strict")
+    f = frames.groupBy("video_id").agg(F.count("*").alias("keyframes"), F.max("original_frame_id").alias("_last"))
+    out_of = placed.groupBy("video_id").agg(F.count_if(F.col("found_shot").isNull()).alias("outside"))
+    lost = frames.where("shot_id is not null").join(shots.select("video_id", "shot_id"), ["video_id", "shot_id"], "left_anti").groupBy("video_id").agg(F.count("*").alias("missing_shots"))
+    out = s.join(f, "video_id", "full_outer").join(out_of, "video_id", "left").join(lost, "video_id", "left").withColumn("tail_gap", F.greatest(F.col("_last") - F.col("_end"), F.lit(0)))
     only = F.when(F.col("shots").isNull(), "frames").when(F.col("keyframes").isNull(), "shots").otherwise("both")
-    return out.select("video_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shots", "overlaps", "keyframes", "missing_shots")], only.alias("only_in"))
+    return out.select("video_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shots", "reversed", "overlaps", "keyframes", "outside", "tail_gap", "missing_shots")], only.alias("only_in"))
 
 
 def sharpest_frames(windows: DataFrame, frames: DataFrame) -> DataFrame:
@@ -107,3 +117,29 @@ def sharpest_frames(windows: DataFrame, frames: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("frame", "sharpness"), F.struct("sharpness", (-F.col("frame")).alias("f")))
     hit = w.join(frames, ["video_id", "frame"]).groupBy("video_id", "shot_id", "target").agg(best.alias("b"))
     return hit.select("video_id", "shot_id", "target", "b.frame", "b.sharpness")
+
+
+#: Of each detector the way from scores to shots, and its threshold.
+DETECTORS = {"transition": TRANSITION, "content": CUT}
+
+
+def detect_shots(scores: DataFrame, rates: DataFrame, detector: str = "transition", threshold: float | None = None, shortest: int = SHORTEST) -> DataFrame:
+    """(video_id, shot_id, start_frame, end_frame, start_sec, end_sec, path): the clip rows of every video from its score series.
+
+    ``scores``: video_id, frame, score; ``rates``: video_id, fps_num, fps_den, path. The detector
+    'transition' flags runs above the threshold, 'content' cuts where frames differ; short shots are
+    merged. Shots are numbered from 0, and end_sec is the time of the last frame.
+    """
+    if detector not in DETECTORS:
+        raise ValueError(f"no detector {detector}; there are {', '.join(DETECTORS)}")
+    level = DETECTORS[detector] if threshold is None else threshold
+    w = W.partitionBy("video_id").orderBy("start_frame")
+    if detector == "transition":
+        ranges = merge_short_scenes(scenes_from_scores(scores, level), shortest)
+    else:
+        starts = find_cuts(scores, level, shortest).union(scores.select("video_id", F.lit(0).cast("bigint")).distinct()).toDF("video_id", "start_frame").distinct()
+        last = scores.groupBy("video_id").agg(F.max("frame").alias("_last"))
+        ranges = starts.join(last, "video_id").withColumn("end_frame", F.coalesce(F.lead("start_frame").over(w) - 1, F.col("_last"))).drop("_last")
+    sec = lambda c: F.col(c) * F.col("fps_den") / F.col("fps_num")
+    numbered = ranges.withColumn("shot_id", F.row_number().over(w) - 1).join(rates, "video_id")
+    return numbered.select("video_id", "shot_id", "start_frame", "end_frame", sec("start_frame").alias("start_sec"), sec("end_frame").alias("end_sec"), "path")

@@ -78,6 +78,16 @@ def overlapping(left: DataFrame, right: DataFrame, by: list[str], left_span: tup
     return lefts.join(rights, [*by, "_slot"]).where(meets & (F.col("_slot") == F.greatest("_lo", "_ro"))).drop("_slot", "_lo", "_ro")
 
 
+def overlapping_semi(left: DataFrame, right: DataFrame, by: list[str], keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: float) -> DataFrame:
+    """The rows of ``left`` (named by ``keys``) that any right span overlaps, ends included: a semi-join, no pairs are made."""
+    (a, b), (c, d) = left_span, right_span
+    slots = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / bucket), F.floor(F.col(y) / bucket)))
+    lefts = left.where(F.col(b) >= F.col(a)).withColumn("_slot", slots(a, b))
+    rights = right.where(F.col(d) >= F.col(c)).select(*by, F.col(c).alias("_c"), F.col(d).alias("_d"), slots(c, d).alias("_slot"))
+    met = lefts.alias("l").join(rights.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*by, "_slot"]] + [F.col("_c") <= F.col(b), F.col("_d") >= F.col(a)], "left_semi")
+    return met.drop("_slot").dropDuplicates(keys)  # a span that is in several slots is met in each
+
+
 def inside_window(left: DataFrame, right: DataFrame, by: list[str], window: tuple[str, str], at: str, bucket: float) -> DataFrame:
     """All pairs in which the right row's instant lies in the left row's window, ends included."""
     a, b = window
@@ -116,3 +126,17 @@ def segments_to_frames(segments: DataFrame, frames: DataFrame, bucket: float = 3
     mid = (F.col("start_sec") + F.col("end_sec")) / 2
     near = first_of(pairs.withColumn("away", F.abs(F.col("pts_sec") - mid)), ["query_id", "video_id", "segment"], [F.col("away"), F.col("frame_id"), F.col("shot_id")])
     return first_of(near, ["query_id", "video_id", "shot_id"], [-F.col("score"), F.col("segment"), F.col("frame_id")])
+
+
+def with_time_to_next(frames: DataFrame, bucket: float = 600.0) -> DataFrame:
+    """Frames (video_id, keyframe_n, pts_sec, ...) with ``to_next``, the seconds to the next one of the video; null for the last.
+
+    Leads run inside buckets of ``bucket`` seconds, so a day-long video is many tasks; the last frame of a
+    bucket finds the first of the next one in a table of one row a bucket.
+    """
+    f = frames.withColumn("_b", F.floor(F.col("pts_sec") / bucket))
+    first = f.groupBy("video_id", "_b").agg(F.min("pts_sec").alias("_first"))
+    after = first.select("video_id", "_b", F.lead("_first").over(W.partitionBy("video_id").orderBy("_b")).alias("_after"))
+    inside = f.withColumn("_next", F.lead("pts_sec").over(W.partitionBy("video_id", "_b").orderBy("pts_sec", "keyframe_n")))
+    joined = inside.join(after, ["video_id", "_b"], "left")
+    return joined.withColumn("to_next", F.round(F.coalesce("_next", "_after") - F.col("pts_sec"), 6)).drop("_b", "_next", "_after")

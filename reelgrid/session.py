@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder all executors share and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made. Rows then survive lost executors and are computed once.
+    The folder is the session's ``spark.checkpoint.dir``. Rows then survive lost executors and are
+    computed once.
     """
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -38,10 +39,40 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
     return spark.read.schema(df.schema).parquet(path.toString()), lambda: files.delete(path, True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder for the rest of the session, for what is read several times.
+
+    Unlike a checkpoint it has the size of its files, so Spark broadcasts it in joins where it is small.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted with the session."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def clean() -> None:
+        if sc._jsc is not None:
+            files.delete(path, True)
+
+    atexit.register(clean)
+    return path.toString()
+
+
 def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelgrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            # A folder of one machine is lost with it, so it will only do where there is no other machine.
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="reelgrid-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

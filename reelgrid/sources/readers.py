@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import io
 import re
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelgrid.functions.text import clean, collapse_blanks
 from reelgrid.operators.etl import lead_end, parse_entities
@@ -49,25 +51,63 @@ def pending(targets: DataFrame, done: DataFrame, limit: int | None = None) -> Da
 
 
 def _file_stem(pattern: str = r"([^/]+)\.[^./]+$") -> Column:
-    return F.regexp_extract(F.input_file_name(), pattern, 1)
+    """The video of a file: of its folder video_id=..., else its name without ending."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"video_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
 def keyframe_map(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, keyframe_n, original_frame_id, pts_sec, fps): CSV files with n, pts_time, fps and frame_idx, one per video; fps is their median."""
-    raw = spark.read.csv(path, header=True).select([F.col(c) for c in ("n", "pts_time", "fps", "frame_idx")]).withColumn("video_id", _file_stem())
+    """(video_id, keyframe_n, original_frame_id, pts_sec, fps): CSV files with n, pts_time, fps and frame_idx, one per video; fps is their median.
+
+    A file without rows is an error: its video would silently have no keyframes.
+    """
+    raw = spark.read.csv(path, header=True, encoding="UTF-8").select([F.col(c) for c in ("n", "pts_time", "fps", "frame_idx")]).withColumn("video_id", _file_stem())
     rows = raw.select("video_id", F.expr("cast(try_cast(n as double) as int)").alias("keyframe_n"), F.expr("cast(try_cast(frame_idx as double) as bigint)").alias("original_frame_id"), F.expr("try_cast(pts_time as double)").alias("pts_sec"), F.expr("try_cast(fps as double)").alias("rate")).where("keyframe_n is not null")
+    files = spark.read.format("binaryFile").load(path).select(F.coalesce(F.nullif(F.regexp_extract("path", r"video_id=([^/]+)/", 1), F.lit("")), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)).alias("video_id")).distinct()
+    empty = files.join(rows.select("video_id").distinct(), "video_id", "left_anti").limit(5).collect()  # five names for the message
+    if empty:
+        raise ValueError(f"empty keyframe map: {', '.join(r.video_id for r in empty)}")
     return rows.join(rows.groupBy("video_id").agg(F.median("rate").alias("fps")), "video_id").drop("rate")
 
 
+def speech_spans(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, start_sec, end_sec, text, text_corrected, entities): speech CSV files for pooling over frames.
+
+    Rows need a start, an end and any text, whatever the speech flag says; an end before the start is
+    the start; the entities are the names of all kinds in one list.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    a, b = F.expr("try_cast(start as double)"), F.expr("try_cast(end as double)")
+    corrected = F.trim(F.coalesce("text_corrected", F.lit("")))
+    names = _all_names(F.col("entities"))
+    rows = raw.select("video_id", a.alias("start_sec"), F.greatest(a, b).alias("end_sec"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), F.when(corrected == "nan", "").otherwise(corrected).alias("text_corrected"), names.alias("entities"), b.alias("_end"))
+    return rows.where("start_sec is not null and _end is not null and (text <> '' or text_corrected <> '')").drop("_end")
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _all_names(texts: pa.Array) -> pa.Array:
+    """The values of all lists of a printed dictionary in order; malformed gives none."""
+    out = []
+    for t in texts.to_pylist():
+        try:
+            read = ast.literal_eval(t.strip()) if t and t.strip().startswith("{") else {}
+            out.append([str(v).strip() for values in read.values() for v in values if str(v).strip()])
+        except (ValueError, SyntaxError, AttributeError, TypeError, MemoryError, RecursionError):
+            out.append([])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def speech_csv(spark: SparkSession, path: str, least_words: int = 2) -> DataFrame:
-    """Segments of enriched speech CSV files: no-value spellings emptied, reversed times swapped, short texts left out."""
+    """Segments of enriched speech CSV files: no-value spellings emptied, reversed times swapped, texts of too few words left out.
+
+    A number that is missing or can't be read is 0; a row without a video is of the video its file is named after.
+    """
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    num = lambda c: F.expr(f"try_cast({c} as double)")
-    a, b = num("start"), num("end")
-    text = collapse_blanks(F.coalesce(F.nullif(clean(F.col("text_corrected")), F.lit("")), clean(F.col("text"))))
-    e = parse_entities(F.col("entities"))
-    rows = raw.select("video_id", F.expr("cast(try_cast(segment as double) as int)").alias("segment"), F.least(a, b).alias("start_sec"), F.greatest(a, b).alias("end_sec"), F.abs(b - a).alias("duration"), text.alias("text_corrected"), num("speech_score").alias("speech_score"), e["persons"].alias("asr_persons"), e["orgs"].alias("asr_orgs"), e["locations"].alias("asr_locations"), *[clean(F.col(c)).alias(c) for c in ("title", "author", "channel_id", "watch_url")])
-    return rows.where(F.col("segment").isNotNull() & F.col("start_sec").isNotNull() & (F.size(F.split("text_corrected", " ")) >= least_words))
+    held = {c: clean(F.col(c)) if c in raw.columns else F.lit("") for c in ("video_id", "segment", "start", "end", "duration", "text_corrected", "speech_score", "title", "author", "channel_id", "watch_url")}
+    num = lambda c: F.coalesce(held[c].try_cast("double"), F.lit(0.0))
+    video = F.coalesce(F.nullif(held["video_id"], F.lit("")), F.regexp_replace(_file_stem(), "_segments.*$", ""))
+    rows = raw.select(video.alias("video_id"), num("segment").cast("int").alias("segment"), F.least(num("start"), num("end")).alias("start_sec"), F.greatest(num("start"), num("end")).alias("end_sec"), num("duration").alias("duration"), held["text_corrected"].alias("text_corrected"), num("speech_score").alias("speech_score"), parse_entities("entities").alias("e"), *[held[c].alias(c) for c in ("title", "author", "channel_id", "watch_url")])
+    e = [F.col(f"e.{c}").alias(f"asr_{c}") for c in ("persons", "orgs", "locations")]
+    return rows.where(F.size(F.split(collapse_blanks(F.col("text_corrected")), " ")) >= least_words).select("*", *e).drop("e")
 
 
 def detections_json(spark: SparkSession, path: str) -> DataFrame:
@@ -77,9 +117,9 @@ def detections_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def caption_spans(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, start_sec, end_sec, text): caption JSON files; a caption ends where the next begins."""
-    raw = spark.read.json(path, multiLine=True, schema="start double, duration double, text string").withColumn("video_id", _file_stem())
-    w = W.partitionBy("video_id").orderBy("start")
+    """(video_id, start_sec, end_sec, text): caption JSON files; a caption ends where the next begins, never before its start."""
+    raw = spark.read.text(path, wholetext=True).select(_file_stem().alias("video_id"), F.explode(F.from_json("value", "array<struct<start:double,duration:double,text:string>>")).alias("c")).select("video_id", "c.*")
+    w = W.partitionBy("video_id").orderBy("start", "text")
     return raw.where("start is not null and trim(text) <> ''").select("video_id", F.col("start").alias("start_sec"), lead_end(F.col("start"), F.coalesce("duration", F.lit(0.0)), F.lead("start").over(w)).alias("end_sec"), "text")
 
 
@@ -100,9 +140,9 @@ def shot_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keyframe_files(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, original_frame_id, path) from image files named <video>_<frame>.jpg; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", "true").load(path).select("path")
-    return files.select(F.regexp_extract("path", r"([^/]+)_\d+\.jpg$", 1).alias("video_id"), F.regexp_extract("path", r"_(\d+)\.jpg$", 1).cast("bigint").alias("original_frame_id"), "path").where("video_id <> ''")
+    """(video_id, original_frame_id, path) from image files named <video>_<frame> with a picture's ending; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.select(F.regexp_extract("path", r"(?i)(L\d{2}_V\d{3})_\d+\.(?:jpg|jpeg|png)$", 1).alias("video_id"), F.regexp_extract("path", r"(?i)_(\d+)\.(?:jpg|jpeg|png)$", 1).cast("bigint").alias("original_frame_id"), "path").where("video_id <> ''")
 
 
 def ocr_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +161,8 @@ def caption_csv(spark: SparkSession, path: str) -> DataFrame:
             out: list[list] = [[], [], []]
             for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = raw.decode("utf-16") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw.decode("utf-8-sig", "replace")
-                video = re.sub(r"\.[^.]*$", "", p.rsplit("/", 1)[-1])
+                folder = re.search(r"video_id=([^/]+)/", p)
+                video = folder[1] if folder else re.sub(r"\.[^.]*$", "", p.rsplit("/", 1)[-1])
                 for r in csv.DictReader(io.StringIO(text)):
                     n = re.match(r"\d+", r.get("keyframe") or "")
                     if n:
@@ -133,12 +174,17 @@ def caption_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def enrichment_lines(spark: SparkSession, path: str, keys: tuple[str, ...] = ("video_id", "keyframe_n")) -> DataFrame:
-    """JSON lines of which the last of each key counts; broken and empty lines are skipped."""
+    """JSON lines of which the last of each key counts; broken and empty lines are skipped.
+
+    Last means: in the last file by name, there in the last split, there the last line. A split is read
+    in order by one task, so its row numbers rise with the lines.
+    """
     schema = "video_id string, keyframe_n int, ocr_text string, caption string, _corrupt_record string"
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    rows = rows.where("r._corrupt_record is null and r.video_id is not null").select("line", "r.video_id", "r.keyframe_n", "r.ocr_text", "r.caption").where("coalesce(ocr_text, '') <> '' or coalesce(caption, '') <> ''")
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "line").alias("x")).select(*keys, "x.ocr_text", "x.caption")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.text(path).select(place.alias("place"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    rows = rows.where("r._corrupt_record is null and r.video_id is not null").select("place", "r.video_id", "r.keyframe_n", "r.ocr_text", "r.caption").where("coalesce(ocr_text, '') <> '' or coalesce(caption, '') <> ''")
+    rest = ["ocr_text", "caption"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "place").alias("x")).select(*keys, "x.ocr_text", "x.caption")
 
 
 def feature_files(spark: SparkSession, path: str) -> DataFrame:
@@ -155,9 +201,19 @@ def feature_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInArrow(run, "video_id string, keyframe_n int, v array<float>")
 
 
+# Fixed value: an id of 11 characters after what comes before it in an address.
+_URL_ID = r"(?:v=|youtu\.be/|/embed/|/shorts/|/vi/)([A-Za-z0-9_-]{11})"
+
+
 def video_url_id(url: Column) -> Column:
     """The id in a watch address: its v parameter, else the last part of a short address."""
-    return F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("v")), F.nullif(F.regexp_extract(url, r"(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})", 1), F.lit("")))
+    return F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("v")), F.nullif(F.regexp_extract(url, _URL_ID, 1), F.lit("")))
+
+
+def media_info_id(text: Column) -> Column:
+    """The id in a media-info JSON text: of its watch address, else the first that any of its values holds; null if none does."""
+    watch = F.get_json_object(text, "$.watch_url")
+    return F.coalesce(F.nullif(F.regexp_extract(watch, _URL_ID, 1), F.lit("")), F.nullif(F.regexp_extract(text, _URL_ID, 1), F.lit("")))
 
 
 def eval_questions(spark: SparkSession, path: str) -> DataFrame:

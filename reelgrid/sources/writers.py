@@ -72,9 +72,26 @@ class Collection:
         return {"exists": bool(v), "version": v[-1] if v else None, "rows": self.current().count() if v else 0}
 
     def checksums(self) -> DataFrame:
-        """(path, length, sha256) of the files of the current version, for a snapshot's manifest."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.path}/{self.versions()[-1]}")
-        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+        """(name, length, sha256) of the files of the current version."""
+        return _checksums(self.spark, f"{self.path}/{self.versions()[-1]}")
+
+    def snapshot(self, path: str, version: str) -> None:
+        """A copy of the current version at ``path`` with a manifest of its files' checksums and the engine's version."""
+        self.current().write.mode("errorifexists").parquet(f"{path}/rows")
+        sums = _checksums(self.spark, f"{path}/rows")
+        sums.withColumn("version", F.lit(version)).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+
+    def restore(self, path: str, version: str) -> str:
+        """A new version from a snapshot; refused when the versions don't go together or a file isn't what it was."""
+        told = self.spark.read.json(f"{path}/manifest")
+        if not compatible(told.first()["version"], version):
+            raise ValueError(f"a snapshot of {told.first()['version']} can't be restored into {version}")
+        same = told.select("name", "sha256").join(_checksums(self.spark, f"{path}/rows"), ["name", "sha256"], "full_outer").where("length is null").limit(1).count() == 0
+        there = _checksums(self.spark, f"{path}/rows").count() == told.count()
+        if not (same and there):
+            raise ValueError(f"{path} was changed since the snapshot")
+        v = self.versions()
+        return self._write(self.spark.read.parquet(f"{path}/rows"), int(v[-1][1:7]) + 1 if v else 1)
 
     def _write(self, rows: DataFrame, number: int) -> str:
         name = f"v{number:06d}-{uuid.uuid4().hex[:6]}"
@@ -82,6 +99,11 @@ class Collection:
         return name
 
 
+def _checksums(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
 def compatible(source: str, target: str) -> bool:
     """Whether a snapshot of one version can be restored into another: same minor version, target patch not older."""
     a, b = ([int(x) for x in v.lstrip("v").split(".")[:3]] for v in (source, target))

@@ -43,3 +43,34 @@ def test_feedback(spark):
     q = F.array(F.lit(1.0), F.lit(0.0))
     v = spark.range(1).select(scalar.feedback_vector(q, F.array(F.array(F.lit(0.0), F.lit(2.0)), F.array(F.lit(2.0), F.lit(2.0))), F.lit(None).cast("array<array<double>>")).alias("v")).first().v
     assert v == pytest.approx([1.75, 1.5])
+
+
+def test_profiles():
+    p = models.register_profile(models.Profile("test-image", "m", 8, "image"))
+    assert models.register_profile(p) is p and models.profile("test-image", "image") == p
+    with pytest.raises(ValueError, match="another"):
+        models.register_profile(models.Profile("test-image", "m", 9, "image"))
+    with pytest.raises(ValueError, match="for image"):
+        models.profile("test-image", "text")
+    with pytest.raises(ValueError, match="no profile"):
+        models.profile("none")
+
+
+def test_pair_scorer_and_rewriter(spark):
+    score = models.pair_scorer(lambda: 2, lambda m, a, b: [m * len(x) + len(y) for x, y in zip(a, b)], batch=1)
+    df = spark.createDataFrame([("ab", "c"), (None, "c"), ("a", None)], "a string, b string")
+    assert [r.s for r in df.select(score("a", "b").alias("s")).collect()] == [5.0, None, None]
+    better = models.text_rewriter(lambda: None, lambda m, xs: [None if x == "ab" else x.upper() for x in xs])
+    assert [r.s for r in df.select(better("a").alias("s")).collect()] == ["ab", None, "A"]
+
+    def fails(m, xs):
+        raise OSError
+
+    assert [r.s for r in df.select(models.text_rewriter(lambda: None, fails)("a").alias("s")).collect()] == ["ab", None, "a"]
+
+
+def test_differences_by_video(spark):
+    rows = [("v", i, bytes([10 * i, 0])) for i in (2, 0, 1)] + [("w", 0, bytes([5, 5]))]
+    df = spark.createDataFrame(rows, "video_id string, frame int, p binary")
+    got = {(r.video_id, r.frame): r.score for r in models.by_video(df, models.differences, "p").collect()}
+    assert got == {("v", 0): 0.0, ("v", 1): 5.0, ("v", 2): 5.0, ("w", 0): 0.0}

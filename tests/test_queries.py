@@ -8,7 +8,7 @@ from reelgrid.plans import registry
 from tests.compare import against_sql
 from tests.conftest import DATA, needs_data
 
-NO_SQL = {"trake_alternates", "trake_search", "point_id_number"}
+NO_SQL: set[str] = set()
 
 
 @needs_data

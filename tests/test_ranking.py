@@ -36,6 +36,33 @@ def test_fusion_without_clips_or_weight(spark):
     assert [r.score for r in ranking.fuse_frames_and_clips(frames, frames, 0).collect()] == [0.7]
 
 
+def test_a_query_without_a_second_list_keeps_its_rows(spark):
+    """Its rows stay uncollapsed with their own scores; other queries are fused."""
+    first = hits(spark, [(0.9, "v", 1), (0.8, "v", 1)]).unionByName(spark.createDataFrame([(2, 0.7, "v", 1, 9), (2, 0.6, "v", 1, 10)], H))
+    second = hits(spark, [(0.5, "v", 1)])
+    for fused in (ranking.fuse_frames_and_clips(first, second), ranking.rrf_two(first, second)):
+        assert sorted((r.score, r.id) for r in fused.where("query_id = 2").collect()) == [(0.6, 10), (0.7, 9)]
+        assert fused.where("query_id = 1").count() == 1
+    assert sorted(r.score for r in ranking.rrf_two(first, second, 0).collect()) == [0.6, 0.7, 0.8, 0.9]
+
+
+def test_the_primary_row_is_carried_and_gains_the_text(spark):
+    t = H + ", ocr_text string"
+    a = spark.createDataFrame([(1, 0.8, "v", 1, 5, None), (1, 0.7, "v", 2, 6, None)], t)
+    b = spark.createDataFrame([(1, 3.0, "v", 2, 7, "bờ sông"), (1, 2.0, "v", 3, 8, "chợ")], t)
+    got = {r.shot_id: (r.id, r.ocr_text) for r in ranking.rrf_two(a, b).collect()}
+    assert got == {1: (5, None), 2: (6, "bờ sông"), 3: (8, "chợ")}
+
+
+def test_knn_leaves_unusable_vectors_out(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [1.0, 1.0]), (None, [1.0, 0.0])]
+    base = spark.createDataFrame(rows, "id bigint, v array<float>")
+    for size in (0, 1_000_000):
+        got = search.knn(base.selectExpr("id as query_id", "v"), base, 3, 2, query_bytes=size).collect()
+        assert sorted((r.query_id, r.id) for r in got) == [(1, 6), (6, 1)]
+        assert search.knn(base.limit(0).selectExpr("id as query_id", "v"), base, 3, 2, query_bytes=size).collect() == []
+
+
 def test_rrf(spark):
     one = hits(spark, [(0.9, "v", 1)])
     assert ranking.rrf_two(one, one, 0.5).first().score == pytest.approx(1 / 61 + 0.5 / 61)
@@ -113,13 +140,14 @@ def test_alternates(spark):
     assert [r.frame_id for r in alt] == [60, 800]
 
 
-def test_knn_is_exact_over_blocks(spark):
+@pytest.mark.parametrize("query_bytes", [0, 1_000_000])
+def test_knn_is_exact_over_blocks(spark, query_bytes):
     import numpy as np
 
     x = np.random.default_rng(1).normal(size=(300, 8)).astype("float32")
     x[7] = x[3]
     base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
-    got = search.knn(base.where("id < 5").selectExpr("id as query_id", "v"), base, 4, base_block=40, query_block=2).collect()
+    got = search.knn(base.where("id < 5").selectExpr("id as query_id", "v"), base, 4, 8, base_block=40, query_block=2, query_bytes=query_bytes).collect()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     for q in range(5):
         s = np.round(u @ u[q], 6)
@@ -127,14 +155,15 @@ def test_knn_is_exact_over_blocks(spark):
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == list(np.lexsort((np.arange(300), -s))[:4])
 
 
+@pytest.mark.parametrize("query_bytes", [0, 1_000_000])
 @pytest.mark.parametrize("scaled", [False, True])
-def test_knn_ties_beyond_the_block_winners(spark, scaled):
+def test_knn_ties_beyond_the_block_winners(spark, scaled, query_bytes):
     import numpy as np
 
     r = np.random.default_rng(4)
     x = np.repeat(r.normal(size=(1, 8)), 300, axis=0) * (r.uniform(0.1, 30, size=(300, 1)) if scaled else 1)
     ids = r.permutation(300).tolist()
     base = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x.astype("float32"))] + [(1000 + i, v.tolist()) for i, v in enumerate(r.normal(size=(100, 8)))], "id bigint, v array<float>")
-    got = search.knn(base.where("id in (0, 150, 299)").selectExpr("id as query_id", "v"), base, 4).collect()
+    got = search.knn(base.where("id in (0, 150, 299)").selectExpr("id as query_id", "v"), base, 4, 8, query_bytes=query_bytes).collect()
     for q, want in ((0, [1, 2, 3, 4]), (150, [0, 1, 2, 3]), (299, [0, 1, 2, 3])):
         assert [h.id for h in sorted((h for h in got if h.query_id == q), key=lambda h: h["rank"])] == want

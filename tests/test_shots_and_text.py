@@ -1,12 +1,13 @@
 from __future__ import annotations
 
-import math
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.functions import scalar, text
-from reelgrid.operators import etl, evaluate, shots, submit, temporal
+from reelgrid.functions.text import fold, numbered_lines, picture_sections, quoted_spans, snapshot_name
+from reelgrid.operators import etl, evaluate, filters, manifests, shots, submit, temporal
 
 
 def one(spark, column):
@@ -146,7 +147,17 @@ def test_submission_reasons(spark):
     b = spark.createDataFrame([("v", 100), ("w", None)], "video_id string, frame_upper_bound bigint")
     r = spark.createDataFrame([(1, "v", [1, 2]), (2, "v", [1, 100]), (3, "v", [5, 5]), (4, "x", [1]), (5, "w", [9999])], "position int, video_id string, frame_ids array<bigint>")
     assert [x.reason for x in submit.validate(r, b).orderBy("position").collect()] == [None, "frame out of bounds", "frames not rising", "unknown video", None]
-    assert [x.line for x in submit.csv_lines(r.where("position = 1")).collect()] == ["v,1,2"]
+    # No bounds at all: none are known, so nothing is out of them.
+    assert [x.reason for x in submit.validate(r, b.limit(0)).orderBy("position").collect()] == [None, None, "frames not rising", None, None]
+
+
+def test_submission_files(spark):
+    r = spark.createDataFrame([(1, "L22_V001", [1200], None), (2, "L22_V001", [7], 'áo, "đỏ"\n xanh'), (3, "v", [1, 2, 3], None)], "position int, video_id string, frame_ids array<bigint>, answer string")
+    assert [x.line for x in submit.csv_lines(r).orderBy("position").collect()] == ["L22_V001,1200", 'L22_V001,7,"áo, ""đỏ"" xanh"', "v,1,2,3"]
+    assert json.loads(submit.as_json(r, "qa").first().submission)[1] == {"task": "qa", "fields": ["L22_V001", "7", 'áo, "đỏ" xanh']}
+    for made in (submit.csv_lines, submit.as_json):
+        with pytest.raises(Exception, match="at most 100 rows"):
+            made(r.withColumn("position", F.col("position") + 98)).collect()
 
 
 def test_detections_stop_at_the_first_weak_one(spark):
@@ -154,7 +165,104 @@ def test_detections_stop_at_the_first_weak_one(spark):
     assert m == {"dog": 2, "cat": 1}
 
 
-def test_mean_pool_has_length_one(spark):
-    v = spark.createDataFrame([(1, [3.0, 0.0]), (1, [0.0, 4.0]), (2, [0.0, 0.0])], "k int, v array<double>")
-    got = {r.k: r.v for r in etl.mean_pool(v, ["k"], "v").collect()}
-    assert math.hypot(*got[1]) == pytest.approx(1) and got[2] is None
+def test_mean_pool_of_unit_vectors(spark):
+    rows = [(1, "a", [10.0, 0.0]), (1, "a", [0.0, 2.0]), (2, None, [0.0, 0.0]), (None, "c", [3.0, 4.0]), (None, "c", None), (4, "d", [1.0, 0.0]), (4, "d", [-1.0, 0.0])] + [(5, "e", [float(i % 7 + 1), 0.0]) for i in range(3000)]
+    v = spark.createDataFrame(rows, "k int, l string, v array<double>").repartition(3)
+    got = {(r.k, r.l): (r.n, r.v) for r in etl.mean_pool(v, ["k", "l"], "v").collect()}
+    assert got[1, "a"][1] == pytest.approx([0.5**0.5, 0.5**0.5]) and got[None, "c"] == (1, [0.6, 0.8])
+    assert got[4, "d"] == (2, None) and got[5, "e"] == (3000, [1.0, 0.0]) and (2, None) not in got and len(got) == 4
+    assert etl.mean_pool(v.limit(0), ["k", "l"], "v").collect() == []
+
+
+def test_quoted_spans(spark):
+    text = 'Biển ghi "Chợ nổi" và “Bến phà”, chữ "không rõ chữ", "bị che", “mờ quá”, "Chợ nổi", "x", “a"'
+    assert one(spark, quoted_spans(F.lit(text))) == ["Chợ nổi", "Bến phà"]
+
+
+def test_answers_of_models(spark):
+    assert one(spark, numbered_lines(F.lit("<think>9. no</think>\n2) “hai”\n\n1. một "))) == ["một", "hai"]
+    for bad in ("1. một\n3. ba", "2. hai", "nothing", "1. \n2. hai", None):
+        assert one(spark, numbered_lines(F.lit(bad))) is None
+    assert one(spark, numbered_lines(F.lit("1. một"), F.lit(2))) is None
+    s = one(spark, picture_sections(F.lit("x\nCHỮ:\nBến phà\nsố 4\nmô tả\nmột con\nmèo\n")))
+    assert (s.text, s.caption) == ("Bến phà\nsố 4", "một con mèo")
+    s = one(spark, picture_sections(F.lit("CHU\nKhông có chữ\nMO TA:\na")))
+    assert (s.text, s.caption) == ("", "a")
+
+
+def test_printed_dictionaries():
+    got = etl.entity_lists("{'persons': [\"O'Neil\", 'A', 'A', 'nan'], 'orgs': 'x', 'locations': ('B',)}")
+    assert got == {"persons": ["O'Neil", "A"], "orgs": [], "locations": ["B"]}
+    assert etl.entity_lists("{'persons': [") == etl.entity_lists(None) == {"persons": [], "orgs": [], "locations": []}
+
+
+def test_keyframe_manifest(spark):
+    files = spark.createDataFrame([("v", f, f"{f}.jpg") for f in (45, 5, 15)] + [("w", 7, "7.jpg")], "video_id string, original_frame_id bigint, path string")
+    videos = spark.createDataFrame([("v", 30000, 1001, False)], "video_id string, fps_num int, fps_den int, is_vfr boolean")
+    own = manifests.keyframe_manifest(files, videos, fallback=(25, 1)).orderBy("video_id", "keyframe_n").collect()
+    assert [(r.video_id, r.original_frame_id, r.shot_id) for r in own] == [("v", 5, 0), ("v", 15, 1), ("v", 45, 2), ("w", 7, 0)]
+    assert own[0].pts_sec == pytest.approx(5 * 1001 / 30000) and own[3].pts_sec == 7 / 25
+    shots = spark.createDataFrame([("v", 0, 0, 9), ("v", 1, 10, 39), ("v", 2, 40, 45)], "video_id string, shot_id int, start_frame bigint, end_frame bigint")
+    got = manifests.keyframe_manifest(files.where("video_id = 'v'"), videos, shots).orderBy("keyframe_n").collect()
+    assert [r.shot_id for r in got] == [0, 1, 2]
+    for bad in (manifests.keyframe_manifest(files, videos), manifests.keyframe_manifest(files, videos, shots, (25, 1))):
+        with pytest.raises(Exception, match="no frame rate for w|outside every shot"):
+            bad.collect()
+
+
+def test_clip_times(spark):
+    t = lambda a, b, f, g, n: one(spark, manifests.sample_times(F.lit(a), F.lit(b), F.lit(f), F.lit(g), n))
+    assert t(1.0, 4.0, 25, 100, 4) == [1.0, 2.0, 3.0, 4.0] and t(1.0, 1.0, 25, 25, 4) == [1.0] and t(1.0, 1.04, 25, 26, 4) == [1.0, 1.04]
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([("a", 1.0, ["car"], "Sông Cửu Long", "01/02/2024"), ("b", None, None, None, None)], "video_id string, t double, objects array<string>, text string, publish_date string")
+    names = lambda d: [r.video_id for r in d.collect()]
+    assert names(filters.in_list(df, "video_id", [])) == names(filters.in_list(df, "video_id", None)) == ["a", "b"]
+    assert names(filters.in_list(df, "video_id", ["b"])) == names(filters.in_list(df, "video_id", [*"bcdefghijklm"])) == names(filters.in_list(df, "video_id", df.where("t is null").select("video_id"))) == ["b"]
+    assert names(filters.in_list(df, "video_id", df.limit(0).select("video_id"))) == []
+    assert names(df.where(filters.within(F.col("t"), 0))) == names(df.where(filters.has_any(F.col("objects"), ["car", "bus"]))) == names(df.where(filters.has_words(F.col("text"), "long SÔNG"))) == ["a"]
+    assert names(filters.by_meta(df, ["car"], published=("01/01/2024", None))) == ["a"] and names(filters.by_meta(df, published=(None, "31/01/2024"))) == []
+
+
+def test_lengths_of_rewrites(spark):
+    texts = F.array(F.lit("abcd"), F.lit("abc"))
+    assert one(spark, scalar.caption_budget(texts)) == 192 and one(spark, scalar.clean_budget(texts)) == 131
+
+
+def test_payload_keeps_what_carries_something(spark):
+    df = spark.createDataFrame([("v", 0.0, "", [], 0, "t")], "video_id string, start_sec double, ocr_text string, objects array<string>, n int, title string")
+    got = json.loads(df.select(etl.non_empty_payload(df.columns, keep=("start_sec",)).alias("p")).first().p)
+    assert got == {"video_id": "v", "start_sec": 0.0, "title": "t"}
+
+
+def test_small_scalars(spark):
+    assert one(spark, scalar.clip_range(F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(5), F.lit(10))).asDict() == {"start": 0, "end": 15}
+    assert one(spark, scalar.clip_range(F.lit(1), F.lit(400), F.lit(None).cast("int"), F.lit(None).cast("int"))) is None
+    assert one(spark, scalar.rotation(F.array(F.lit(0.0), F.lit(-1.0)))) == 90
+    assert one(spark, snapshot_name(F.lit("a b/c"))).startswith("a_b_c-") and one(spark, fold(F.lit("ế̃ Đ"))) == "e D"
+
+
+def test_variable_rate_is_refused(spark):
+    v = spark.createDataFrame([("v", True)], "video_id string, is_vfr boolean")
+    with pytest.raises(Exception, match="variable frame rate: v"):
+        etl.refuse_variable_rate(v).collect()
+
+
+def test_detected_shots(spark):
+    s = spark.createDataFrame([("v", i, 90.0 if i in (16, 40) else 2.0) for i in range(60)], "video_id string, frame bigint, score double")
+    v = spark.createDataFrame([("v", 10, 1, "p")], "video_id string, fps_num int, fps_den int, path string")
+    got = [(r.shot_id, r.start_frame, r.end_frame, r.end_sec) for r in shots.detect_shots(s, v, "content").orderBy("shot_id").collect()]
+    assert got == [(0, 0, 15, 1.5), (1, 16, 39, 3.9), (2, 40, 59, 5.9)]
+    with pytest.raises(ValueError, match="no detector"):
+        shots.detect_shots(s, v, "other")
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from reelgrid import session
+
+    held = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://a:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session._shared_folder(held)

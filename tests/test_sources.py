@@ -16,12 +16,55 @@ def test_keyframe_map(spark, tmp_path):
     assert [(x.video_id, x.keyframe_n, x.original_frame_id, x.fps) for x in r] == [("L01_V001", 1, 0, 25.0), ("L01_V001", 2, 25, 25.0), ("L01_V001", 3, 50, 25.0)]
 
 
+HEAD = "segment,start,end,duration,text,speech_score,video_id,title,author,channel_id,watch_url,text_corrected,entities"
+
+
 def test_speech_csv(spark, tmp_path):
-    head = "segment,start,end,text,speech_score,video_id,title,author,channel_id,watch_url,text_corrected,entities"
-    rows = ['1,5,2,raw text,0.5,v,nan,A,c,u,nan,"{\'persons\': [\'X Y\', \'X Y\'], \'orgs\': [], \'locations\': []}"', "2,1,2,short,0.5,v,t,A,c,u,one,{}", "bad,1,2,two words,0.5,v,t,A,c,u,two words,oops"]
-    (tmp_path / "a.csv").write_text("\n".join([head, *rows]))
-    r = readers.speech_csv(spark, str(tmp_path)).collect()
-    assert [(x.segment, x.start_sec, x.end_sec, x.text_corrected, x.title, x.asr_persons) for x in r] == [(1, 2.0, 5.0, "raw text", "", ["X Y"])]
+    rows = ["""1,5,2,3,raw,0.5,v,nan,A,c,u,two words,"{'persons': ['X O''Y', 'X O''Y', 'nan'], 'orgs': [], 'locations': ""oops""}" """.replace("''", "\\'").strip(), "2,1,2,1,short,0.5,v,t,A,c,u,one,{}", "bad,,2,x,t,,,t,A,c,u,hai chữ,oops", "4,1,2,1,raw text stays out,0.5,v,t,A,c,u,nan,{}"]
+    (tmp_path / "w_segments_enriched.csv").write_text("\n".join([HEAD, *rows]))
+    r = readers.speech_csv(spark, str(tmp_path)).orderBy("video_id").collect()
+    assert [(x.video_id, x.segment, x.start_sec, x.end_sec, x.duration, x.text_corrected, x.title, x.asr_persons, x.asr_locations) for x in r] == [("v", 1, 2.0, 5.0, 3.0, "two words", "", ["X O'Y"], []), ("w", 0, 0.0, 2.0, 0.0, "hai chữ", "t", [], [])]
+
+
+def test_speech_spans_keep_any_text(spark, tmp_path):
+    rows = ["""1,5,2,3,raw,0.5,v,t,A,c,u,nan,"{'persons': ['A', ' '], 'orgs': ['B']}" """.strip(), "2,x,2,1,no start,0.5,v,t,A,c,u,one,{}", "3,1,2,1,,0.5,v,t,A,c,u,,{}", "4,1,2,1,,0.5,v,t,A,c,u,one,oops"]
+    (tmp_path / "v.csv").write_text("\n".join([HEAD, *rows]))
+    r = readers.speech_spans(spark, str(tmp_path)).orderBy("start_sec").collect()
+    assert [(x.video_id, x.start_sec, x.end_sec, x.text, x.text_corrected, x.entities) for x in r] == [("v", 1.0, 2.0, "", "one", []), ("v", 5.0, 5.0, "raw", "", ["A", "B"])]
+
+
+def test_an_empty_keyframe_map_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,pts_time,fps,frame_idx\n1,0.0,25,0\n")
+    (tmp_path / "b.csv").write_text("n,pts_time,fps,frame_idx\n")
+    with pytest.raises(ValueError, match="empty keyframe map: b"):
+        readers.keyframe_map(spark, str(tmp_path))
+
+
+def test_the_last_enrichment_of_the_last_file_counts(spark, tmp_path):
+    line = '{{"video_id": "v", "keyframe_n": 1, "caption": "{}"}}\n'
+    (tmp_path / "a.jsonl").write_text(line.format("a1") * 3)
+    (tmp_path / "b.jsonl").write_text(line.format("b1") + line.format("b2"))
+    assert [x.caption for x in readers.enrichment_lines(spark, str(tmp_path)).collect()] == ["b2"]
+
+
+def test_media_info_ids(spark):
+    texts = ['{"watch_url": "https://a.example/watch?v=abcdefghijk&x=1"}', '{"watch_url": "none", "thumbnail_url": "https://i.example/vi/ABCDEFGHIJK/0.jpg"}', '{"title": "x"}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.x for r in df.select("i", readers.media_info_id(df.t).alias("x")).orderBy("i").collect()] == ["abcdefghijk", "ABCDEFGHIJK", None, None]
+
+
+def test_snapshot_and_restore(spark, tmp_path):
+    c = writers.Collection(spark, str(tmp_path / "col"))
+    c.create(spark.createDataFrame([(1, "a")], "id int, x string"))
+    c.snapshot(str(tmp_path / "snap"), "1.9.2")
+    c.upsert(spark.createDataFrame([(1, "b")], "id int, x string"), ["id"])
+    with pytest.raises(ValueError, match="can't be restored"):
+        c.restore(str(tmp_path / "snap"), "1.8.0")
+    c.restore(str(tmp_path / "snap"), "1.9.2")
+    assert [r.x for r in c.current().collect()] == ["a"]
+    spark.createDataFrame([(9, "z")], "id int, x string").write.mode("append").parquet(str(tmp_path / "snap" / "rows"))
+    with pytest.raises(ValueError, match="changed"):
+        c.restore(str(tmp_path / "snap"), "1.9.2")
 
 
 def test_json_and_text_sources(spark, tmp_path):
