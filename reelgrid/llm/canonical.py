@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,10 @@ LOOK_ALIKES = {
     "ο": "o", "ν": "v", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     # Armenian and other Latin
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "Օ": "O", "Տ": "S", "Լ": "L", "ɡ": "g", "ɑ": "a", "ı": "i", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ",
+    # Cherokee, Lisu, and small capitals that are only the small letter's shape
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ӏ": "l", "ё": "ë", "Ё": "Ë",
     # Signs
     "‐": "-", "‑": "-", "−": "-", "˗": "-", "﹣": "-", "⁃": "-",
 }
@@ -116,3 +121,20 @@ def canonical_text(text: Column) -> Column:
     joiners between pictures stay; very long texts are processed whole; applied twice it changes nothing.
     """
     return _canonical_udf(text)
+
+
+def with_canonical(df: DataFrame, text: str, form: str = "form") -> DataFrame:
+    """The rows with the consistent form of a column, made exactly once.
+
+    As an expression the optimizer may copy it, for instance into the not-null filter of a join on it;
+    as a step of its own over Arrow batches it stays where it is.
+    """
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([None if t is None else canonical(t) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, form])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{kinds}, `{form}` string")

@@ -1,9 +1,11 @@
 """The k most similar vectors of every vector, through learned partitions.
 
 On a bounded sample a neighbour graph is built and cut into balanced parts, and a small softmax
-classifier learns to tell a vector's part from the vector. Every vector is indexed in its most
-probable part and searched in its several most probable ones, where candidates are ranked by exact
-cosine. The vectors cross the network once per searched part and nothing grows with all pairs.
+classifier learns to tell a vector's part from the vector. Where the vectors need more parts than one
+graph can be cut into, each part is cut again in the same way on a sample of its own, over the
+cluster. Every vector is indexed in its most probable part and searched in its several most probable
+ones, where candidates are ranked by exact cosine. The vectors cross the network once per searched
+part and nothing grows with all pairs.
 """
 
 from __future__ import annotations
@@ -31,12 +33,52 @@ class Router:
     bias: np.ndarray
     share: np.ndarray
 
-    def parts(self, x: np.ndarray, most: int) -> np.ndarray:
-        """The ``most`` most probable parts of each row, the best one first."""
+    def chances(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` most probable parts of each row, the best one first, and their log-probabilities."""
         z = x @ self.weights + self.bias
         most = min(most, z.shape[1])
         top = np.argpartition(-z, most - 1, axis=1)[:, :most]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, 1), axis=1, kind="stable"), 1)
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, 1), axis=1, kind="stable"), 1)
+        peak = z.max(axis=1, keepdims=True)
+        return top, np.take_along_axis(z, top, 1) - peak - np.log(np.exp(z - peak).sum(axis=1, keepdims=True))
+
+    def parts(self, x: np.ndarray, most: int) -> np.ndarray:
+        return self.chances(x, most)[0]
+
+
+@dataclass
+class Tree:
+    """A router whose parts may have routers of their own; the leaves are numbered part by part."""
+
+    top: Router
+    below: list[Router | None]
+
+    def __post_init__(self) -> None:
+        counts = np.array([1 if r is None else len(r.bias) for r in self.below])
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.share = np.concatenate([[t] if r is None else t * r.share for t, r in zip(self.top.share, self.below)])
+
+    def leaves(self, x: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` most probable leaves of each row, the best one first: a leaf's chance is its part's times its own."""
+        parts, chance = self.top.chances(x, most)
+        if all(r is None for r in self.below):
+            return parts
+        ids = np.full((len(x), parts.shape[1] * most), -1, np.int64)
+        value = np.full(ids.shape, -np.inf)
+        for j in range(parts.shape[1]):
+            order = np.argsort(parts[:, j], kind="stable")
+            ends = np.flatnonzero(np.diff(parts[order, j])) + 1
+            for rows in np.split(order, ends):
+                p = parts[rows[0], j]
+                router = self.below[p]
+                if router is None:
+                    ids[rows, j * most], value[rows, j * most] = self.first[p], chance[rows, j]
+                else:
+                    leaf, own = router.chances(x[rows], most)
+                    at = j * most + np.arange(leaf.shape[1])
+                    ids[rows[:, None], at], value[rows[:, None], at] = self.first[p] + leaf, chance[rows, j, None] + own
+        order = np.argsort(-value, axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(ids, order, 1)  # -1 where a row has fewer
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -125,12 +167,15 @@ def _balanced(score: np.ndarray, room: int) -> np.ndarray:
     return label
 
 
-def similar_vectors(df: DataFrame, point: str, vector: str, k: int = 10, dim: int = 96, least_cosine: float = -1.0, probes: int = 3, sample_rows: int = 16_384, part_rows: int = 1_000, block_rows: int = 12_000, parts_most: int = 512, seed: int = 11) -> DataFrame:
+def similar_vectors(df: DataFrame, point: str, vector: str, k: int = 10, dim: int = 96, least_cosine: float = -1.0, probes: int = 3, sample_rows: int = 16_384, part_rows: int = 1_000, block_rows: int = 12_000, parts_most: int = 512, leaves_most: int = 65_536, seed: int = 11) -> DataFrame:
     """(point_a, point_b, cosine): for each point its k most similar other points with a cosine of at least ``least_cosine``.
 
-    Equal cosines: the smaller point first. ``sample_rows`` bounds what the router is fitted on,
-    every row is indexed. Its parts hold about ``part_rows`` vectors; a part that would hold more
-    than ``block_rows`` is searched in several blocks. ``probes`` parts are searched for each vector.
+    Equal cosines: the smaller point first. ``sample_rows`` bounds what a router is fitted on, every row
+    is indexed. Parts hold about ``part_rows`` vectors: one router makes up to ``parts_most`` of them;
+    more vectors are cut in two levels, the second one fitted over the cluster on samples of up to
+    ``sample_rows`` vectors a part, into up to ``leaves_most`` parts, which is also what bounds the
+    broadcast of the routers (leaves x dim numbers, 25 MB). A part that would hold more than
+    ``block_rows`` is searched in several blocks. ``probes`` parts are searched for each vector.
 
     Defined cases: a vector that is null, of another length than ``dim``, with a null or infinite
     number or all zero is left out on both sides; repeated rows count once; equal vectors under many
@@ -149,9 +194,14 @@ def similar_vectors(df: DataFrame, point: str, vector: str, k: int = 10, dim: in
         sample = rows.select("v").limit(sample_rows).toArrow().column("v").combine_chunks()
     if not len(sample):
         return rows.select(F.col("id").alias("point_a"), F.col("id").alias("point_b"), F.lit(1.0).alias("cosine")).limit(0)
-    router = train_router(unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)), min(parts_most, round(n / part_rows)), seed)
-    blocks = np.maximum(1, np.ceil(router.share * n / block_rows)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((router, blocks))  # parts x dim numbers
+    wanted = min(leaves_most, max(1, round(n / part_rows)))
+    # Two levels of about equal width, so that no router has more parts than one graph is cut into.
+    wide = wanted if wanted <= parts_most else min(parts_most, int(np.ceil(np.sqrt(wanted))))
+    router = train_router(unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)), wide, seed)
+    below = [None] * len(router.bias) if wide == wanted else _routers_below(rows, router, n, part_rows, leaves_most, parts_most, sample_rows, dim, seed)
+    tree = Tree(router, below)
+    blocks = np.maximum(1, np.ceil(tree.share * n / block_rows)).astype(np.int64)
+    shared = spark.sparkContext.broadcast((tree, blocks))  # leaves x dim numbers, bounded by leaves_most
     routed = rows.mapInArrow(_route(shared, probes), "part int, block int, indexed boolean, id bigint, v binary")
     groups = int(blocks.sum())
     routed = routed.repartition(max(1, min(groups, 4_000)), "part", "block")
@@ -159,11 +209,47 @@ def similar_vectors(df: DataFrame, point: str, vector: str, k: int = 10, dim: in
     return _expand(near, rows, k)
 
 
+def _routers_below(rows: DataFrame, top: Router, n: int, part_rows: int, leaves_most: int, parts_most: int, sample_rows: int, dim: int, seed: int) -> list[Router | None]:
+    """For every part the router that cuts it, fitted over the cluster on a sample of the part; None for a part that is small enough."""
+    many = np.clip(np.round(top.share * n / part_rows), 1, parts_most).astype(np.int64)
+    over = many.sum() / leaves_most
+    if over > 1:
+        many = np.maximum(1, np.floor(many / over)).astype(np.int64)
+    # As many sampled vectors for each leaf as one level has, at most sample_rows a part.
+    rate = np.minimum(1.0, np.minimum(sample_rows, 64 * many) / np.maximum(1.0, top.share * n))
+    shared = rows.sparkSession.sparkContext.broadcast((top, rate))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router, share = shared.value
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                part = router.parts(unit(x), 1)[:, 0]
+                keep = np.flatnonzero((_mark(x) % np.uint64(1 << 20)).astype(np.float64) / (1 << 20) < share[part])
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[keep], pa.int32()), b.column(1).take(pa.array(keep))], ["part", "v"])
+
+    def fit(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        x = unit(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim))[: 2 * sample_rows]
+        r = train_router(x, int(many[part]), seed)
+        return pa.table({"part": pa.array([part], pa.int32()), "w": [r.weights.astype(np.float32).tobytes()], "b": [r.bias.astype(np.float32).tobytes()], "s": [r.share.astype(np.float64).tobytes()]})
+
+    drawn = rows.mapInArrow(draw, "part int, v array<float>").where(F.col("part").isin([int(p) for p in np.flatnonzero(many > 1)]))
+    out: list[Router | None] = [None] * len(many)
+    # One row a part, leaves_most x dim numbers in all.
+    for r in drawn.groupBy("part").applyInArrow(fit, "part int, w binary, b binary, s binary").toLocalIterator():
+        bias = np.frombuffer(r["b"], np.float32)
+        if len(bias) > 1:
+            out[r["part"]] = Router(np.frombuffer(r["w"], np.float32).reshape(dim, -1), bias, np.frombuffer(r["s"], np.float64))
+    return out
+
+
 def _route(shared, probes: int):
     """Rows for the parts: each different vector of a batch once to index it, and copies to search elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, blocks = shared.value
+        tree, blocks = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -174,19 +260,19 @@ def _route(shared, probes: int):
             _, first = np.unique(mark, return_index=True)  # of equal vectors the smallest point stands for all
             keep = order[first]
             ids, x, mark = ids[keep], x[keep], mark[first]
-            parts = router.parts(unit(x), probes)
+            parts = tree.leaves(unit(x), probes)
             raw = np.ascontiguousarray(x, np.float32)
             for c in range(parts.shape[1]):
-                many = blocks[parts[:, c]]
+                there = np.flatnonzero(parts[:, c] >= 0)
+                part, many = parts[there, c], blocks[parts[there, c]]
+                own = (mark[there] % many.astype(np.uint64)).astype(np.int64)
                 if c == 0:
-                    yield _rows(parts[:, 0], (mark % many.astype(np.uint64)).astype(np.int64), True, ids, raw)
+                    yield _rows(part, own, True, ids[there], raw[there])
                 # A vector searches all blocks of its parts; in its own block it does as it is indexed there.
-                for block in range(int(many.max())):
-                    t = np.flatnonzero(many > block)
-                    if c == 0:
-                        t = t[(mark[t] % many[t].astype(np.uint64)).astype(np.int64) != block]
+                for block in range(int(many.max(initial=0))):
+                    t = np.flatnonzero((many > block) & ((own != block) if c == 0 else True))
                     if len(t):
-                        yield _rows(parts[t, c], np.full(len(t), block), False, ids[t], raw[t])
+                        yield _rows(part[t], np.full(len(t), block), False, ids[there[t]], raw[there[t]])
 
     return run
 
@@ -221,31 +307,33 @@ def _search(k: int, dim: int, least: float):
         smallest = np.minimum.reduceat(ids[order], np.flatnonzero(new))
         ids, x, indexed = smallest, unit(x[keep]), indexed[keep]
         base, base_ids = x[indexed], ids[indexed]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        step = max(1, 8_000_000 // max(1, len(base)))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # Twice the error of a float32 product of unit vectors: what lies below can't tie with the k-th.
+        slack = 2 * (dim + 4) * 2.0**-24
+        step = max(1, 4_000_000 // max(1, len(base)))
         for i in range(0, len(ids) if len(base) else 0, step):
             s = x[i : i + step] @ base.T
-            hit = s >= least - 1e-5
+            hit = s >= least - slack
             if hit.sum() > 8 * (k + 1) * len(s):
-                # Ties at the edge go to the smaller point, so a few more than k are looked at.
-                most = min(k + 9, s.shape[1])
-                rows, cols = np.repeat(np.arange(len(s)), most), np.argpartition(-s, most - 1, axis=1)[:, :most].ravel()
-                ok = hit[rows, cols]
-                rows, cols = rows[ok], cols[ok]
-            else:
-                rows, cols = np.nonzero(hit)
+                # Many pass: only those that may be among the k best, or tie with the last of them, are multiplied exactly.
+                most = min(k + 1, s.shape[1])
+                hit &= s >= -np.partition(-s, most - 1, axis=1)[:, most - 1 : most] - slack
+            rows, cols = np.nonzero(hit)
             other = ids[i + rows] != base_ids[cols]
-            found.append((i + rows[other], cols[other]))
+            rows, cols = i + rows[other], cols[other]
+            cosine = np.empty(len(rows))
+            for j in range(0, len(rows), 50_000):
+                t = slice(j, j + 50_000)
+                a, b = x[rows[t]].astype(np.float64), base[cols[t]].astype(np.float64)
+                cosine[t] = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+            order = np.lexsort((base_ids[cols], -cosine, rows))
+            rows, cols, cosine = rows[order], cols[order], cosine[order]
+            ok = (np.arange(len(rows)) - np.searchsorted(rows, rows) < k) & (cosine >= least)
+            found.append((ids[rows[ok]], base_ids[cols[ok]], cosine[ok]))
         if not found:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        rows, cols = (np.concatenate(f) for f in zip(*found))
-        a, b = x[rows].astype(np.float64), base[cols].astype(np.float64)
-        cosine = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)) if len(rows) else np.empty(0)
-        order = np.lexsort((base_ids[cols], -cosine, rows))
-        rows, cols, cosine = rows[order], cols[order], cosine[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        ok = (place < k) & (cosine >= least)
-        return pa.table({"a": ids[rows[ok]], "b": base_ids[cols[ok]], "cosine": cosine[ok]})
+        a, b, cosine = (np.concatenate(f) for f in zip(*found))
+        return pa.table({"a": a, "b": b, "cosine": cosine})
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm.canonical import canonical_text
+from reelgrid.llm.canonical import with_canonical
 from reelgrid.llm.mixing import mix_sources, quality_weight
 from reelgrid.llm.neighbours import similar_vectors
 from reelgrid.llm.names import link_names
@@ -59,14 +59,14 @@ def _screen_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The phrases are a small table that doesn't grow; Spark broadcasts it if its size allows.
-    phrases = table(spark, sf_dir, "screen_phrases").select("phrase_id", "phrase", canonical_text(F.col("phrase")).alias("form"))
-    values = _screen_values(spark, sf_dir).withColumn("form", canonical_text(F.col("value")))
+    phrases = with_canonical(table(spark, sf_dir, "screen_phrases").select("phrase_id", "phrase"), "phrase")
+    values = with_canonical(_screen_values(spark, sf_dir).where("value is not null"), "value")
     return values.join(phrases, "form").where("value <> phrase").select("field_name", "video_id", "row_no", "phrase_id").distinct()
 
 
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All values of the three fields in their consistent form, with the key of their row."""
-    return _screen_values(spark, sf_dir).select("field_name", "video_id", "row_no", "value", canonical_text(F.col("value")).alias("form")).distinct()
+    return with_canonical(_screen_values(spark, sf_dir), "value").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

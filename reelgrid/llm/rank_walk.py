@@ -22,8 +22,8 @@ ROUNDS = 60
 TOLERANCE = 1e-10
 #: A larger group is walked over the cluster instead of in one task.
 GROUP_ROWS = 100_000
-#: Rounds of such a walk: what is left after them is DAMPING ** 24, about 3e-10.
-SPREAD_ROUNDS = 24
+#: Rounds of such a walk: each brings what is left down by the damping, so after them it is under the same tolerance.
+SPREAD_ROUNDS = int(np.ceil(np.log(TOLERANCE) / np.log(DAMPING)))
 #: Ranges into which a large group's values are cut for their prefix sums.
 RANGES = 512
 
@@ -94,7 +94,7 @@ def _walk_spread(rows: DataFrame, damping: float, rounds: int = SPREAD_ROUNDS) -
     """(g, i, mass) of groups of any size: the same walk with its prefix sums over the cluster."""
     size = rows.groupBy("g").agg(F.max(F.size("s")).alias("m"), F.count("*").alias("n"))
     full = rows.join(size, "g").select("g", "i", "n", "m", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.try_element_at("s", j + 1))).alias("j", "v")).where("m > 0")
-    full, _ = written(full.withColumn("v", F.when(~F.isnan("v"), F.col("v"))))
+    full, drop_values = written(full.withColumn("v", F.when(~F.isnan("v"), F.col("v"))))
     present = full.where("v is not null")
     ranks = _below(present, ["g", "j"], "v", F.lit(1))
     counts = present.groupBy("g", "j").agg(F.count("*").alias("c"))
@@ -102,7 +102,8 @@ def _walk_spread(rows: DataFrame, damping: float, rounds: int = SPREAD_ROUNDS) -
     own = place.groupBy("g", "i").agg(F.avg("place").alias("own"))
     full = full.join(place, ["g", "i", "j"], "left").join(own, ["g", "i"], "left").select("g", "i", "j", "n", "m", F.coalesce("place", "own", F.lit(0.5)).alias("place"))
     ranks = _below(full, ["g", "j"], "place", F.lit(1))
-    full, _ = written(full.join(ranks, ["g", "j", "place"]).withColumn("jump", 1 / (F.col("n") - F.col("below") - F.col("here") + 1)).drop("below", "here"))
+    full, drop_places = written(full.join(ranks, ["g", "j", "place"]).withColumn("jump", 1 / (F.col("n") - F.col("below") - F.col("here") + 1)).drop("below", "here"))
+    drop_values()
     mass, drop = written(full.select("g", "i", (1 / F.col("n")).alias("mass")).distinct())
     for _ in range(rounds):
         out = full.join(mass, ["g", "i"]).withColumn("out", F.col("mass") * F.col("jump"))
@@ -111,6 +112,7 @@ def _walk_spread(rows: DataFrame, damping: float, rounds: int = SPREAD_ROUNDS) -
         new, drop_new = written(new.select("g", "i", ((1 - damping) / F.col("n") + damping * F.col("in")).alias("mass")))
         drop()
         mass, drop = new, drop_new
+    drop_places()
     alone = rows.join(size.where("m <= 0"), "g").select("g", "i", (1 / F.col("n")).alias("mass"))
     return mass.unionByName(alone)
 

@@ -38,3 +38,11 @@ def test_ties_go_to_the_earlier_then_the_smaller(spark):
 
 def test_empty_sides(spark):
     assert run(spark, [], [("a", 1, 1)]) == set() and run(spark, [("a", 1, 1)], []) == set() and run(spark, [], []) == set()
+
+
+def test_a_crowded_bucket_is_shared_out(spark):
+    probe = spark.createDataFrame([("v", i, 10 * i) for i in range(2000)], "e string, k bigint, t bigint")
+    base = spark.createDataFrame([("v", i, 100 * i + 3) for i in range(200)] + [("v", 900 + i, 100 * i + 3) for i in range(200)], "e string, s bigint, t bigint")
+    one = {tuple(r) for r in nearest_in_time(probe, base, "e", "t", "t", "k", "s", 60).collect()}
+    many = {tuple(r) for r in nearest_in_time(probe, base, "e", "t", "t", "k", "s", 60, task_rows=150).collect()}
+    assert one == many and len(one) == 1997 and all(b < 200 for _, _, b, _ in one)
