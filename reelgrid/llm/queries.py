@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelgrid.llm.canonical import with_canonical
 from reelgrid.llm.mixing import mix_sources, quality_weight
 from reelgrid.llm.neighbours import similar_vectors
-from reelgrid.llm.names import link_names
+from reelgrid.llm.names import link_names, name_clusters
 from reelgrid.llm.nearest_time import nearest_in_time
 from reelgrid.llm.pii import personal_data, redact
 from reelgrid.llm.rank_walk import rank_walk
@@ -69,16 +69,25 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_canonical(_screen_values(spark, sf_dir), "value").distinct()
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    speech = table(spark, sf_dir, "asr_segments")
+def _spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of every segment: video_id, segment, kind, name."""
     lists = [("person", "asr_persons"), ("org", "asr_orgs"), ("location", "asr_locations")]
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("names")) for k, c in lists])
-    spelt = speech.select("video_id", "segment", F.explode(kinds).alias("l")).select("video_id", "segment", F.col("l.kind").alias("kind"), F.explode("l.names").alias("name")).where("name is not null")
-    known = table(spark, sf_dir, "known_entities")
+    speech = table(spark, sf_dir, "asr_segments")
+    return speech.select("video_id", "segment", F.explode(kinds).alias("l")).select("video_id", "segment", F.col("l.kind").alias("kind"), F.explode("l.names").alias("name")).where("name is not null")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelt, known = _spelt(spark, sf_dir), table(spark, sf_dir, "known_entities")
     links = link_names(spelt, known).join(known.select("entity_id", "full_name"), "entity_id").where("name <> full_name").select("kind", "name", "entity_id")
     return spelt.join(links, ["kind", "name"]).select(F.col("kind").alias("entity_kind"), "video_id", "segment", "entity_id").distinct()
 
 
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different spelling with its cluster, also of people, organisations and places that nobody lists."""
+    return name_clusters(_spelt(spark, sf_dir), table(spark, sf_dir, "known_entities"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = table(spark, sf_dir, "frames").select("video_id", "keyframe_n", _ms("pts_sec").alias("at"))
     speech = table(spark, sf_dir, "asr_segments").select("video_id", "segment", _ms("start_sec").alias("at"))
@@ -123,7 +132,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {
     "p6_found": """
