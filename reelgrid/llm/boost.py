@@ -36,16 +36,14 @@ class Boosted:
         best = (1e-6, None, None)
         if depth and len(rows) > 4:
             for j, cs in enumerate(cuts):
-                v = x[rows, j]
-                for c in cs:
-                    left = v <= c
-                    gl, hl = g[rows][left].sum(), h[rows][left].sum()
-                    gr, hr = total_g - gl, total_h - hl
-                    if not left.any() or left.all():
-                        continue
-                    gain = gl**2 / (hl + self.least) + gr**2 / (hr + self.least) - total_g**2 / (total_h + self.least)
-                    if gain > best[0]:
-                        best = (gain, j, c)
+                # Sums below every cut at once: rows fall between the cuts, and the sums run on.
+                at = np.searchsorted(cs, x[rows, j], "left")
+                gl, hl, n = (np.cumsum(np.bincount(at, w, len(cs) + 1))[:-1] for w in (g[rows], h[rows], None))
+                gain = gl**2 / (hl + self.least) + (total_g - gl) ** 2 / (total_h - hl + self.least) - total_g**2 / (total_h + self.least)
+                gain = np.where((n > 0) & (n < len(rows)), gain, -np.inf)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (float(gain[k]), j, cs[k])
         if best[1] is None:
             return float(total_g / (total_h + self.least))
         _, j, c = best
