@@ -73,7 +73,7 @@ def without_times_and_sounds(text: str) -> str:
     return _BRACKETS.sub(bracket, text)
 
 
-BOUNDARY_FEATURES = ["arrow", "bracket", "round", "colon", "dash", "at start", "after sentence", "numbered", "capitals", "capital first", "next is capital", "gap", "same speaker"]
+BOUNDARY_FEATURES = ["arrow", "bracket", "round", "colon", "dash", "at start", "after sentence", "numbered", "capitals", "capital first", "next is capital", "gap", "same speaker", "abbreviated"]
 #: Seconds of gap beyond which more says nothing.
 LONG_GAP = 10.0
 
@@ -89,7 +89,7 @@ def boundary_features(m: re.Match, text: str, gap: float, ended: bool, before: s
     sep = (m["sep"] or "").strip()
     return [
         bool(m["arrow"]), opened in ("[", "<", "{") and bool(opened), opened == "(", sep in (":", "："), sep in ("-", "–", "—") and bool(sep), not left, left.endswith((".", "!", "?", "…")) if left else ended,
-        name[-1].isdigit(), name.isupper(), name[:1].isupper(), right[:1].isupper(), min(gap, LONG_GAP) if not left else 0.0, speaker_of(name) == before,
+        name[-1].isdigit(), name.isupper(), name[:1].isupper(), right[:1].isupper(), min(gap, LONG_GAP) if not left else 0.0, speaker_of(name) == before, sum(c.isalpha() for c in name) <= 3,
     ]
 
 
@@ -114,7 +114,7 @@ def labelled_boundaries(rows: int = 2400, seed: int = 3) -> tuple[np.ndarray, np
     """The labelled table of boundaries: labels in many styles, bare ones that gap and context make a label or a word, and mentions in sentences."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[rng.integers(len(xs))]
-    roles = ["MC", "M.C.", "Người dẫn", "Nguoi dan", "NGƯỜI DẪN CHƯƠNG TRÌNH", "PV", "P.V.", "pv", "Phóng viên", "Phong vien", "Khách", "Khách mời", "KHÁCH MỜI", "Khach moi", "mc", "Reporter", "Guest"]
+    roles = ["MC", "M.C.", "Người dẫn", "Nguoi dan", "NGƯỜI DẪN CHƯƠNG TRÌNH", "PV", "P.V.", "pv", "mc", "p.v.", "Phóng viên", "Phong vien", "Khách", "Khách mời", "KHÁCH MỜI", "Khach moi", "mc", "Reporter", "Guest"]
     numbered = ["S{}", "Speaker {}", "SPEAKER_{:02d}", "spk{}", "Người nói {}", "NGƯỜI NÓI {:02d}", "speaker{}"]
     bare = ["MC", "PV", "M.C.", "P.V.", "KHÁCH MỜI", "PHÓNG VIÊN", "Speaker {}", "SPEAKER_{:02d}", "S{}", "NGƯỜI DẪN"]
     said = ["bữa trưa đã dọn xong", "Chúng tôi đang ở bến xe.", "gió thổi khá mạnh", "Mọi người vừa tới nơi.", "we are at the station", "12 chiếc ghế xếp thành hàng", "Phần 4: một bài hát", "Xin chào quý vị!", "Vâng, tôi nghe rõ"]
