@@ -9,7 +9,6 @@ is all that can compose with it, and spliced into the text, whose other parts st
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +36,8 @@ LOOK_ALIKES = {
 }
 # Code points that show nothing.
 UNSEEN = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+#: Where code points with a decomposition, a combining class or a blank can be; what lies between are ideographs, Hangul syllables, surrogates, private and unused planes.
+BLOCKS = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x13000), (0x16000, 0x17000), (0x1B000, 0x20000), (0x2F800, 0x2FA20))
 #: Kinds of compatibility forms that read as their plain form. Superscripts, fractions, circles and the like read differently and stay.
 SAME_SHAPE = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 
@@ -59,9 +60,7 @@ def tables() -> tuple[re.Pattern, dict[int, str], frozenset[str]]:
     """The pattern of an unstable run with the starter before it, the map of single code points, and the unstable ones."""
     mapped = {ord(a): b for a, b in LOOK_ALIKES.items()} | {ord(c): "" for c in UNSEEN}
     unstable = set(mapped)
-    for p in range(sys.maxunicode + 1):
-        if p < 0x80 or 0xAC00 <= p < 0xD7A4 or 0xD800 <= p < 0xE000:
-            continue
+    for p in (p for block in BLOCKS for p in range(*block)):
         c = chr(p)
         if p not in mapped and (plain := _plain(c)) is not None:
             mapped[p] = plain
