@@ -72,7 +72,7 @@ def _two_events(spark, d):
 
 def pair_scores(spark, d):
     """Two events in a row: ten times the best ordered pair and five times both means."""
-    return sequence.pair_scores(_two_events(spark, d).where("event < 2")).withColumn("score", F.round("score", 5))
+    return sequence.pair_scores(_two_events(spark, d).where("event < 2")).withColumn("score", F.round("score", 9))
 
 
 def three_part_scores(spark, d):
@@ -104,7 +104,7 @@ select bs.query_id, rk.rank, bs.video_id, concat_ws(',', f0, f1, f2) as frames,
   left join an a on a.query_id = bs.query_id and a.video_id = bs.video_id and a.event = 0 left join an b on b.query_id = bs.query_id and b.video_id = bs.video_id and b.event = 1 left join an c on c.query_id = bs.query_id and c.video_id = bs.video_id and c.event = 2 where rk.rank <= 20""",
     "pair_scores": f"""{_SLOTS}, t as (select sv.query_id, sv.video_id, sv.event, sv.score, sv.pts_sec as pts from sv where event < 2 and place <= 10), m as (select query_id, video_id, coalesce(avg(score) filter (event = 0), 0) + coalesce(avg(score) filter (event = 1), 0) as m from t group by all),
 p2 as (select a.query_id, a.video_id, max(a.score + b.score) as pair from t a join t b on a.query_id = b.query_id and a.video_id = b.video_id and a.event = 0 and b.event = 1 and b.pts - a.pts > 0 and b.pts - a.pts <= 300 group by all)
-select query_id, video_id, round(10 * coalesce(pair, 0) + 5 * m, 5) as score from m left join p2 using (query_id, video_id)""",
+select query_id, video_id, round(10 * coalesce(pair, 0) + 5 * m, 9) as score from m left join p2 using (query_id, video_id)""",
     "three_part_scores": f"""{_SLOTS}, b as (select query_id, video_id, event, max(score) as s from sv group by all)
 select sv.query_id, sv.video_id, sv.frame_id, sv.id, round(sv.score + coalesce(a.s, 0) + coalesce(c.s, 0), 6) as score from sv left join b a on a.query_id = sv.query_id and a.video_id = sv.video_id and a.event = 0 left join b c on c.query_id = sv.query_id and c.video_id = sv.video_id and c.event = 2 where sv.event = 1""",
     # Only frames that have a point are searched.
