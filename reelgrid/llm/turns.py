@@ -142,7 +142,9 @@ def labelled_boundaries(rows: int = 2400, seed: int = 3) -> tuple[np.ndarray, np
             want = int(gap >= 1.2 and ended and right[:1].isupper())
         else:  # a small word and a dash: a label where a sentence begins, an aside inside one
             inside = rng.random() < 0.6
-            text, want = (pick(["đó là", "có một nhóm", "mời các"]) + " " if inside else pick(["Mọi người vừa tới nơi. ", ""])) + pick(["khách", "phóng viên", "người dẫn"]) + " - " + pick(said), int(not inside)
+            arrow = rng.random() < 0.3  # which names a speaker wherever it stands
+            text = (pick(["đó là", "có một nhóm", "mời các"]) + " " if inside else pick(["Mọi người vừa tới nơi. ", ""])) + (">> " if arrow else "") + pick(["khách", "khách mời", "phóng viên", "người dẫn"]) + " - " + pick(said)
+            want = int(arrow or not inside)
         for m in PLACES.finditer(text):
             x.append(boundary_features(m, text, gap, ended, before))
             y.append(want)
