@@ -6,29 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import nfc
-from reelgrid.operators.search import inverse_frequency, sparse_search, term_weights
+from reelgrid.operators.search import inverse_frequency, sparse_search, term_lists, term_weights
 from reelgrid.session import kept, parallelism
 
 
 class LexicalIndex:
-    """Postings (token, id, weight) in the order of their tokens, and each token's rarity.
+    """Documents (id, tokens, weights), a row each, and each token's rarity.
 
-    Postings are files sorted by token, so a search that knows its tokens skips all row groups without
-    them. An index belongs to one state of its documents; changed documents need a new one.
+    An index belongs to one state of its documents; changed documents need a new one.
     """
 
     def __init__(self, docs: DataFrame):
-        """``docs``: id, t (raw text; null texts have no token)."""
-        spark = docs.sparkSession
-        # A number of its own keeps the partitions: by size they would be joined into few, and splitting makes far more rows.
-        spread = docs.repartition(parallelism(spark), "id").select("id", nfc("t").alias("t"))
-        weights = term_weights(spread, ["id"], "t")
-        self.postings = kept(weights.repartitionByRange("token").sortWithinPartitions("token", "id"))
-        self.idf = kept(inverse_frequency(self.postings, ["id"]))
+        """``docs``: id, t (raw text; null texts have no token); texts of one id are one document."""
+        # A number of its own keeps the partitions: by size they would be joined into few.
+        spread = docs.repartition(parallelism(docs.sparkSession))
+        self.documents = kept(_one_per_id(kept(term_lists(spread.select("id", nfc("t").alias("t")), "id", "t"))))
+        tokens = self.documents.select(F.explode("tokens").alias("token"))
+        # Texts without an id are one document that is found, but not counted among all.
+        self.idf = kept(inverse_frequency(tokens, self.documents.agg(F.count("id").alias("n"))))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(token, id, weight), a row for each token of each document."""
+        return _exploded(self.documents)
 
     def search(self, words: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score, rank) of ``words``: query_id, token, weight."""
-        return sparse_search(words, self.postings, self.idf, k)
+        return sparse_search(words, self.documents, self.idf, k)
+
+
+def _exploded(documents: DataFrame) -> DataFrame:
+    pairs = documents.select("id", F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("weights").alias("weight"))).alias("x"))
+    return pairs.select("x.token", "id", "x.weight")
+
+
+def _one_per_id(rows: DataFrame) -> DataFrame:
+    """Rows that share an id, or have none, are one document.
+
+    Few do, so only theirs are shuffled; they are added up token by token before the shuffle, as many
+    texts may have no id.
+    """
+    named = rows.where("id is not null")
+    repeated = kept(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    several = rows.where("id is null").unionByName(named.join(repeated, "id", "left_semi"))
+    added = _exploded(several).groupBy("id", "token").agg(F.sum("weight").alias("weight"))
+    pairs = added.groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("x"))
+    return named.join(repeated, "id", "left_anti").unionByName(pairs.select("id", F.col("x.token").alias("tokens"), F.col("x.weight").alias("weights")))
 
 
 def query_terms(texts: DataFrame) -> DataFrame:
