@@ -8,7 +8,7 @@ from reelgrid.operators import per_video, sequence
 from reelgrid.plans import entry
 from reelgrid.plans.search_queries import BONUS, DIM, EVENTS, FRAMES, FUSED_SPEECH, HF, OCR_DOCS, POINTS, QUERY_WORDS, SPEECH, SPEECH_DOCS, SQL as SEARCH, _dedupe_sql, _event_queries, _hits_sql, _pooled_shots, _queries, _sparse_sql, _video_points, _with, frames_of, index_of, speech_of
 from reelgrid.plans.search_queries import frame_key
-from reelgrid.session import kept
+from reelgrid.session import kept, table
 
 CONFIG = entry.RetrievalConfig(dim=DIM)
 
@@ -21,10 +21,19 @@ def _corpus(spark, d) -> entry.Corpus:
     return entry.Corpus(frames, _pooled_shots(spark, d), kept(segments), index_of(spark, d, "ocr_text"), index_of(spark, d, "speech"))
 
 
+def _screen_corpus(spark, d) -> entry.Corpus:
+    """What the search by words on screen reads: frames that have a point, without its vector; no shots and no speech."""
+    finite = ~F.exists("dense_video", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("dense_video", lambda x: x != 0)
+    p = table(spark, d, "frame_vectors").where((F.size("dense_video") == DIM) & finite)
+    # The vector is looked at before points are counted once, so none is shuffled.
+    p = p.groupBy("point_id").agg(F.min_by(F.struct("video_id", "keyframe_n"), "ingested_at").alias("r")).select("r.*").distinct()
+    f = frames_of(spark, d, "ocr_text").select("video_id", "keyframe_n", "shot_id", F.col("original_frame_id").alias("frame_id"), "ocr_text", F.col("key").alias("id"))
+    frames = f.where("id is not null").join(p, ["video_id", "keyframe_n"], "left_semi")
+    return entry.Corpus(kept(frames), screen_index=index_of(spark, d, "ocr_text"))
+
+
 def _texts(spark, d):
     """Every query point with its vector and the words of its caption."""
-    from reelgrid.session import table
-
     p = table(spark, d, "frame_vectors").select(F.col("point_id").alias("query_id"), "video_id", "keyframe_n").distinct().join(_queries(spark, d), "query_id")
     f = frames_of(spark, d, "caption_vi", only=p.select("video_id", "keyframe_n")).select("video_id", "keyframe_n", F.col("caption_vi").alias("text"))
     return kept(p.join(f, ["video_id", "keyframe_n"], "left").select("query_id", "v", "text", F.col("text").alias("speech")))
@@ -37,7 +46,7 @@ def _flat(rows):
 
 def search_ocr_rows(spark, d):
     """Search by the words on screen, as result rows."""
-    r = entry.search_ocr(_texts(spark, d), _corpus(spark, d), CONFIG, 10)
+    r = entry.search_ocr(_texts(spark, d), _screen_corpus(spark, d), CONFIG, 10)
     return r.select("query_id", "rank", "video_id", F.element_at("frame_ids", 1).alias("frame_id"), F.round("score", 6).alias("score"), "ocr_text")
 
 
