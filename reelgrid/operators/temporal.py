@@ -122,9 +122,13 @@ def segments_to_frames(segments: DataFrame, frames: DataFrame, bucket: float = 3
     ``segments``: query_id, video_id, segment, start_sec, end_sec, score; ``frames``: video_id,
     shot_id, frame_id, pts_sec, low, high. Out: one row per (query_id, video_id, shot_id).
     """
-    pairs = overlapping(segments, frames.where("pts_sec is not null and frame_id is not null"), ["video_id"], ("start_sec", "end_sec"), ("low", "high"), bucket)
+    # What is nearest depends on the span alone, so a segment that many queries found meets the frames once; of frames with the same times only the first can be it.
+    span = ["video_id", "start_sec", "end_sec"]
+    windows = first_of(frames.where("pts_sec is not null and frame_id is not null").select("video_id", "shot_id", "frame_id", "pts_sec", "low", "high"), ["video_id", "pts_sec", "low", "high"], [F.col("frame_id"), F.col("shot_id")])
+    pairs = overlapping(segments.select(*span).distinct(), windows, ["video_id"], ("start_sec", "end_sec"), ("low", "high"), bucket)
     mid = (F.col("start_sec") + F.col("end_sec")) / 2
-    near = first_of(pairs.withColumn("away", F.abs(F.col("pts_sec") - mid)), ["query_id", "video_id", "segment"], [F.col("away"), F.col("frame_id"), F.col("shot_id")])
+    found = first_of(pairs.withColumn("away", F.abs(F.col("pts_sec") - mid)), span, [F.col("away"), F.col("frame_id"), F.col("shot_id")])
+    near = segments.join(found, span)
     return first_of(near, ["query_id", "video_id", "shot_id"], [-F.col("score"), F.col("segment"), F.col("frame_id")])
 
 

@@ -32,11 +32,11 @@ FRAME_COLUMNS = ("shot_id", "original_frame_id", "pts_sec", "shot_start_sec", "s
 def frames_of(spark: SparkSession, d: str, *more: str, only: DataFrame | None = None) -> DataFrame:
     """Every keyframe once, with its key and window; only the columns asked for are read.
 
-    ``only`` (video_id, keyframe_n) leaves the others out before their repeats are looked for.
+    ``only`` (any of video_id, keyframe_n and key) leaves the others out before their repeats are looked for.
     """
     rows = table(spark, d, "frames").select("video_id", "keyframe_n", *FRAME_COLUMNS, *more, "ingested_at")
     if only is not None:
-        rows = rows.join(only, ["video_id", "keyframe_n"], "left_semi")
+        rows = rows.withColumn("key", frame_key()).join(only, only.columns, "left_semi").drop("key")
     f = once_per_key(rows, ["video_id", "keyframe_n"])
     w = time_window(F.col("shot_start_sec"), F.col("shot_end_sec"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("pts_sec"))
     return f.withColumn("key", frame_key()).withColumn("w", w).withColumn("low", F.col("w.low")).withColumn("high", F.col("w.high")).drop("w")
@@ -263,8 +263,7 @@ def kis_visual_asr(spark, d):
 
 def asr_nearest_frame(spark, d):
     speech = _fused_speech(spark, d)
-    f = table(spark, d, "frames").join(speech.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "keyframe_n").distinct()
-    f = frames_of(spark, d, only=f).select("video_id", "shot_id", F.col("original_frame_id").alias("frame_id"), "pts_sec", "low", "high").withColumn("shot_id", F.coalesce("shot_id", F.lit(0)))
+    f = frames_of(spark, d, only=speech.select("video_id").distinct()).select("video_id", "shot_id", F.col("original_frame_id").alias("frame_id"), "pts_sec", "low", "high").withColumn("shot_id", F.coalesce("shot_id", F.lit(0)))
     s = speech.withColumn("score", F.round("score", 6)).where("end_sec >= start_sec")
     return temporal.segments_to_frames(s, f).select("query_id", "video_id", "shot_id", "segment", "frame_id", "score")
 
