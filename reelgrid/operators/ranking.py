@@ -132,9 +132,13 @@ def speech_bonus(frames: DataFrame, segments: DataFrame, weight: float = 0.3, pa
     s = normalize(segments)
     low, high = F.col("low") - pad, F.col("high") + pad
     slots = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor(b / bucket)))
-    f = frames.where("low is not null and high >= low").select("query_id", "video_id", "id", low.alias("lo"), high.alias("hi"), slots(low, high).alias("slot"))
-    g = s.where("end_sec >= start_sec").select("query_id", "video_id", "start_sec", "end_sec", F.col("score").alias("speech"), slots(F.col("start_sec"), F.col("end_sec")).alias("slot"))
-    best = f.join(g, ["query_id", "video_id", "slot"]).where("start_sec <= hi and end_sec >= lo").groupBy("query_id", "id").agg(F.max("speech").alias("bonus"))
+    # Frames of one window, and segments of one span, overlap the same: each window meets each span once.
+    window = ["query_id", "video_id", "lo", "hi"]
+    f = frames.where("low is not null and high >= low").select("query_id", "video_id", "id", low.alias("lo"), high.alias("hi"))
+    g = s.where("end_sec >= start_sec").groupBy("query_id", "video_id", "start_sec", "end_sec").agg(F.max("score").alias("speech"))
+    met = f.select(*window).distinct().withColumn("slot", slots(F.col("lo"), F.col("hi"))).join(g.withColumn("slot", slots(F.col("start_sec"), F.col("end_sec"))), ["query_id", "video_id", "slot"])
+    bonus = met.where("start_sec <= hi and end_sec >= lo").groupBy(*window).agg(F.max("speech").alias("bonus"))
+    best = f.join(bonus, window).groupBy("query_id", "id").agg(F.max("bonus").alias("bonus"))
     out = frames.join(best, ["query_id", "id"], "left")
     return out.withColumn("score", F.col("score") + weight * F.coalesce("bonus", F.lit(0.0))).drop("bonus")
 
