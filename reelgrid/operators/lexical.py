@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import nfc
-from reelgrid.operators.search import inverse_frequency, sparse_search, term_lists, term_weights
+from reelgrid.operators.search import added_up, inverse_frequency, sparse_search, term_lists, term_weights
 from reelgrid.session import kept, parallelism
 
+#: An id of more rows than this is added up token by token; where the rows that share an id are more than this part of all, all are shuffled at once.
+CROWD, MANY = 1_000, 8
+
 
 class LexicalIndex:
     """Documents (id, tokens, weights), a row each, and each token's rarity.
@@ -43,15 +46,26 @@ def _exploded(documents: DataFrame) -> DataFrame:
 def _one_per_id(rows: DataFrame) -> DataFrame:
     """Rows that share an id, or have none, are one document.
 
-    Few do, so only theirs are shuffled; they are added up token by token before the shuffle, as many
-    texts may have no id.
+    Where few do, only theirs are shuffled, otherwise all, once and as they are. Only ids of very many
+    rows are added up token by token before the shuffle, as many texts may have no id.
     """
     named = rows.where("id is not null")
-    repeated = kept(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-    several = rows.where("id is null").unionByName(named.join(repeated, "id", "left_semi"))
-    added = _exploded(several).groupBy("id", "token").agg(F.sum("weight").alias("weight"))
-    pairs = added.groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("x"))
-    return named.join(repeated, "id", "left_anti").unionByName(pairs.select("id", F.col("x.token").alias("tokens"), F.col("x.weight").alias("weights")))
+    repeated = kept(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"))
+    crowded = repeated.where(F.col("n") > CROWD).select("id")
+    several, total = repeated.agg(F.sum("n"), F.max("n")).first()
+    if (several or 0) * MANY > rows.count():
+        alone, shared = None, named
+    else:
+        alone, shared = named.join(repeated, "id", "left_anti"), named.join(repeated, "id", "left_semi")
+    added = rows.where("id is null")
+    if (total or 0) > CROWD:
+        added = added.unionByName(named.join(crowded, "id", "left_semi"))
+        shared = shared.join(crowded, "id", "left_anti")
+    pairs = _exploded(added).groupBy("id", "token").agg(F.sum("weight").alias("weight")).groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("x"))
+    lists = shared.groupBy("id").agg(F.collect_list(F.struct("tokens", "weights")).alias("x"))
+    out = added_up(lists.select("id", F.flatten("x.tokens").alias("tokens"), F.flatten("x.weights").alias("weights")), "id")
+    out = out.unionByName(pairs.select("id", F.col("x.token").alias("tokens"), F.col("x.weight").alias("weights")))
+    return out if alone is None else alone.unionByName(out)
 
 
 def query_terms(texts: DataFrame) -> DataFrame:
