@@ -149,8 +149,7 @@ def _hit_columns(df: DataFrame) -> DataFrame:
 def _with_shots(spark: SparkSession, d: str, hits: DataFrame, *more: str) -> DataFrame:
     """Hits whose id is a frame's key, with the frame's video and shot."""
     hits = kept(hits)
-    places = table(spark, d, "frames").select("video_id", "keyframe_n", frame_key().alias("id")).join(hits.select("id").distinct(), "id", "left_semi")
-    f = frames_of(spark, d, *more, only=kept(places.select("video_id", "keyframe_n").distinct())).select(F.col("key").alias("id"), "video_id", F.coalesce("shot_id", F.lit(0)).alias("shot_id"), F.col("original_frame_id").alias("frame_id"), *more)
+    f = frames_of(spark, d, *more, only=hits.select(F.col("id").alias("key")).distinct()).select(F.col("key").alias("id"), "video_id", F.coalesce("shot_id", F.lit(0)).alias("shot_id"), F.col("original_frame_id").alias("frame_id"), *more)
     return hits.join(f, "id")
 
 
