@@ -156,6 +156,9 @@ def test_a_query_brings_each_span_once(spark, monkeypatch):
         assert left.count() == left.select("video_id", "start_sec", "end_sec").distinct().count()
         raise _Searched
 
+    fused = search_queries._fused_speech(spark, str(DATA))
+    twice = fused.unionByName(fused.withColumn("query_id", F.col("query_id") + 1))
+    monkeypatch.setattr(search_queries, "_fused_speech", lambda *_: twice)
     monkeypatch.setattr(search_queries.temporal, "overlapping", met)
     with pytest.raises(_Searched):
         search_queries.QUERIES["asr_only"](spark, str(DATA))
